@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from .common import once
+from .common import materialize, once
 
 #: At most about so many labelled rows are learnt from (all, where there are fewer); also bounds the broadcast.
 MAX_LABELLED = 200_000
@@ -180,14 +180,14 @@ def _counts(rows: DataFrame) -> DataFrame:
 
 
 def log_odds(counts: DataFrame, most: int = MAX_FEATURES) -> dict[str, tuple[float, float]]:
-    """Significant features of at least three documents: log-odds (one deviation nearer to zero) and significance."""
+    """Significant features: log-odds (one deviation nearer to zero) and significance."""
     n1, n0 = counts.agg(F.coalesce(F.sum("y1"), F.lit(0.0)), F.coalesce(F.sum("y0"), F.lit(0.0))).first()
     if not n1 or not n0:
         return {}
     a = F.greatest(F.lit(PRIOR / (n1 + n0)) * (F.col("y1") + F.col("y0")), F.lit(LEAST_PRIOR))
     of = lambda y, n: F.log((F.col(y) + a) / (F.lit(float(n + PRIOR)) - F.col(y) - a))
     spread = F.sqrt(1 / (F.col("y1") + a) + 1 / (F.col("y0") + a))
-    rated = counts.where("docs >= 3").select("feature", (of("y1", n1) - of("y0", n0)).alias("d"), spread.alias("sd")).withColumn("z", F.col("d") / F.col("sd")).where(F.abs("z") >= LEAST_Z)
+    rated = counts.select("feature", (of("y1", n1) - of("y0", n0)).alias("d"), spread.alias("sd")).withColumn("z", F.col("d") / F.col("sd")).where(F.abs("z") >= LEAST_Z)
     best = rated.orderBy(F.abs("z").desc(), "feature").limit(most).collect()
     return {r["feature"]: (math.copysign(abs(r["d"]) - r["sd"], r["d"]), r["z"]) for r in best}
 
@@ -229,7 +229,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     """
     sample = labelled_sample(labels, id_col, label, most)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(sample), "doc_id").select("text", "toxic")
-    model = Model(log_odds(_counts(rows)))
+    model = Model(log_odds(materialize(_counts(rows).where("docs >= 3"), "toxicity")))
     if not model.odds:
         return model
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -240,7 +240,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
         found = [scorer.segments(t.as_py()) for t in texts]
         return pa.array([{"n": n, "s": [s for _, _, s in segments]} for n, segments in found], pa.struct([("n", pa.int32()), ("s", pa.list_(pa.float64()))]))
 
-    rated = [(r["toxic"], r["x"]["n"], r["x"]["s"]) for r in rows.select("toxic", seen("text").alias("x")).toLocalIterator()]
+    rated = [(r["toxic"], r["x"]["n"], r["x"]["s"]) for r in rows.select("toxic", seen("text").alias("x")).collect()]  # numbers of at most ``most`` rows
     _law(model, rated)
     _calibrate(model, rated)
     return model
