@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import struct
 import unicodedata
 from functools import cache
 
@@ -25,11 +26,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import once
+from .common import Remembered, once
 
 LONG_WORD = 256
-#: Words remembered by a worker; the memory is emptied when it is full.
-REMEMBERED = 400_000
 _NONE = 1 << 60
 
 
@@ -62,7 +61,7 @@ class WordBpe:
         space = r"\t-\r \x85\xa0  -     　"
         self.words = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{space}\p{{L}}\p{{N}}]+").findall
         self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.known: dict[str, bytes] = _Known(self)
+        self.known = Remembered(lambda word: struct.pack(f"<{len(ids := self.word(word))}I", *ids), 300_000)
 
     def word(self, word: str) -> list[int]:
         raw = word.encode()
@@ -108,8 +107,6 @@ class WordBpe:
         """Packed ids of a text without special tokens."""
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # each letter on its own: no final sigma
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
         return b"".join(map(self.known.__getitem__, self.words(text.lower())))
 
     def encode(self, text: str | None) -> bytes:
@@ -126,21 +123,6 @@ class WordBpe:
         return " ".join([t for i in ids if (t := get(i)) is not None])
 
 
-class _Known(dict):
-    """Packed ids by word."""
-
-    def __init__(self, bpe: WordBpe):
-        self.bpe = bpe
-
-    def __missing__(self, word: str) -> bytes:
-        import numpy as np
-
-        ids = np.array(self.bpe.word(word), dtype="<u4").tobytes()
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
-
-
 def load(path: str) -> dict:
     """The parsed vocabulary file (driver side)."""
     with open(path, encoding="utf-8") as f:

@@ -66,3 +66,21 @@ def once(shared, make):
     _built.insert(0, (value, make, found))
     del _built[4:]
     return found
+
+
+class Remembered(dict):
+    """``make(key)`` by key, for the keys met lately: a full memory becomes the old one, from which keys still met return."""
+
+    def __init__(self, make, most: int = 200_000):
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key: str):
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(key) <= 64:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[key] = found
+        return found

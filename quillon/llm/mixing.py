@@ -11,10 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fresh, word_count
+from .common import fresh, materialize, word_count
 
 WEIGHTS = (5, 2, 1)
 MAX_RATE = 3
+#: Targets are broadcast up to this number of sources, and joined by shuffling beyond it.
+MOST_SOURCES = 100_000
 
 
 def draw(identifier: Column) -> Column:
@@ -66,16 +68,20 @@ def plan(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     """
     taken = [c for c in df.columns if c not in ("size", "source_size", "target", "copies")]
     rows = df.select(*taken).withColumn("size", word_count(F.col(text)))
-    sources = weights_by_order(rows.groupBy(F.col(source).alias("source")).agg(F.sum("size").alias("source_size")), weights)
-    goal = targets(sources, max_rate)
+    sizes = materialize(rows.groupBy(F.col(source).alias("source")).agg(F.sum("size").alias("source_size")), "sources")
+    goal = targets(weights_by_order(sizes, weights), max_rate)
     name = fresh("_source", taken)
     goal = goal.select(F.col("source").alias(name), "source_size", "target")
+    if sizes.count() <= MOST_SOURCES:
+        goal = F.broadcast(goal)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(rate)
-    identifier = F.coalesce(F.col(id_col).cast("string"), F.col(text), F.lit(""))
-    copies = whole + (draw(identifier) < rate - whole).cast("long")
+    # drawn before the join, so that a text that is not asked for does not travel
+    chance = fresh("_chance", taken)
+    rows = rows.withColumn(chance, draw(F.coalesce(F.col(id_col).cast("string"), F.col(text), F.lit(""))))
+    copies = whole + (F.col(chance) < rate - whole).cast("long")
     joined = rows.join(goal, rows[source].eqNullSafe(F.col(name)), "left")
-    return joined.withColumn("copies", copies.cast("long")).drop(name)
+    return joined.withColumn("copies", copies.cast("long")).drop(name, chance)
 
 
 def mix(df: DataFrame, **options) -> DataFrame:

@@ -38,7 +38,7 @@ def with_next(df: DataFrame, key: str, tie: str, value: Column, out: str, parts:
     """
     bounds = range_bounds(df, key, parts)
     part, head = fresh("_part", df.columns), fresh("_head", df.columns)
-    dealt = df.withColumn(part, range_of(F.col(key), bounds)).repartition(max(1, len(bounds) + 1), part)
+    dealt = df.withColumn(part, range_of(F.col(key), bounds)).repartition(part)
     dealt = before(dealt) if before else dealt
     order = [F.col(key).asc_nulls_last(), F.col(tie).asc_nulls_first()]
     w = W.partitionBy(part).orderBy(*order)

@@ -88,7 +88,8 @@ def compare_with_next(df: DataFrame, id_col: str = "doc_id", text: str = "text",
     """
     spark = df.sparkSession
     rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # four ranges to a task even out how hashing deals them
+    parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     add = lambda d: d.withColumn("signatures", signatures(F.col("text")))
     both = with_next(rows, "doc_id", "text", F.struct("text", "signatures"), "next", parts, before=add)
     n, m = F.char_length("text"), F.floor(F.char_length("text") / 4).cast("int")

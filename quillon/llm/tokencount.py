@@ -19,11 +19,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import once
+from .common import Remembered, once
 
 MARK = "▁"
 PENALTY = 10.0
-REMEMBERED = 400_000
 
 
 def vocabulary(path: str) -> list[tuple[str, float]]:
@@ -50,7 +49,7 @@ class Counter:
         self.bytes = all(f"<0x{b:02X}>" in names for b in range(256))
         #: Line ends are a boundary of their own where no longer piece has one.
         self.lines = not any("\n" in p and p != "\n" for p in names)
-        self.start, self.inside = _Known(self, MARK), _Known(self, "")
+        self.start, self.inside = Remembered(lambda word: self.word(MARK + word)), Remembered(self.word)
         self.newline = self.word("\n")
 
     def word(self, word: str) -> int:
@@ -79,9 +78,6 @@ class Counter:
         if not text:
             return 0
         start, inside = self.start, self.inside
-        if len(start) + len(inside) > REMEMBERED:
-            start.clear()
-            inside.clear()
         text = text.replace(MARK, " ")
         lines = (text if text[0] == " " else " " + text).split("\n") if self.lines else [text if text[0] == " " else " " + text]
         total = self.newline * (len(lines) - 1)
@@ -93,17 +89,6 @@ class Counter:
         return total
 
 
-class _Known(dict):
-    def __init__(self, counter: Counter, mark: str):
-        self.counter, self.mark = counter, mark
-
-    def __missing__(self, word: str) -> int:
-        found = self.counter.word(self.mark + word)
-        if len(word) <= 64:
-            self[word] = found
-        return found
-
-
 def counter(spark: SparkSession, pieces: list[tuple[str, float]]):
     """A column function: text -> number of tokens.  The vocabulary is broadcast; its size is the file's."""
     shared = spark.sparkContext.broadcast(pieces)

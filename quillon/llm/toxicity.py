@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from .common import materialize, once
+from .common import Remembered, materialize, once
 
 #: At most about so many labelled rows are learnt from (all, where there are fewer); also bounds the broadcast.
 MAX_LABELLED = 200_000
@@ -58,20 +58,6 @@ def features(word: str) -> list[str]:
     return [word, *(word[:k] + "*" for k in BEGINNINGS if len(word) >= k)]
 
 
-class _Scores(dict):
-    """Score of each word: its most significant feature's log-odds less the drift."""
-
-    def __init__(self, odds: dict[str, tuple[float, float]]):
-        self.odds = odds
-
-    def __missing__(self, word: str) -> float:
-        best = max((self.odds[f] for f in features(word) if f in self.odds), key=lambda x: abs(x[1]), default=(0.0, 0.0))
-        if len(self) > 400_000:
-            self.clear()
-        self[word] = found = best[0] - DRIFT
-        return found
-
-
 def maximal_segments(scores) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments [start, end) of a sequence, in order (Ruzzo and Tompa), in linear time."""
     import numpy as np
@@ -100,7 +86,12 @@ def maximal_segments(scores) -> list[tuple[int, int, float]]:
 
 class Scorer:
     def __init__(self, model: Model):
-        self.model, self.words = model, _Scores(model.odds)
+        self.model, self.words = model, Remembered(self.word)
+
+    def word(self, word: str) -> float:
+        """The log-odds of the word's most significant feature, less the drift."""
+        odds = self.model.odds
+        return max((odds[f] for f in features(word) if f in odds), key=lambda x: abs(x[1]), default=(0.0, 0.0))[0] - DRIFT
 
     def segments(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
         """Number of words, and the maximal segments in words."""
