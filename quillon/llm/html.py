@@ -186,26 +186,56 @@ def common(a: list[int], b: list[int]) -> list[int]:
     return out[::-1]
 
 
-def difference(page: list[tuple[str, int]], own: list[int], neighbours: list[list[int]]) -> str:
-    """The page's text without template lines; ``own`` and ``neighbours`` are line hashes."""
-    shared: set[int] = set()
-    open_lines = [i for i, (_, k) in enumerate(page) if k == OTHER]
+def line_hash(text: str, kind: int) -> int:
+    """A signed 32-bit hash of a line."""
+    import xxhash
+
+    return xxhash.xxh32_intdigest(text.encode(), kind) - (1 << 31)
+
+
+def shared_lines(kinds: list[int], own: list[int], neighbours: list[list[int]]) -> set[int]:
+    """Places of the lines that the first neighbour has too that is not a copy; lines are given by their hashes."""
+    open_lines = [i for i, k in enumerate(kinds) if k == OTHER]
     for other in neighbours:
         same = set(common(own, other))
         if len(same.intersection(open_lines)) <= COPY * len(open_lines):
-            shared = same
-            break
-    article = any(k == MAIN for _, k in page)
-    return "\n".join(t for i, (t, k) in enumerate(page) if k == MAIN or (k == OTHER and not article and i not in shared))
+            return same
+    return set()
+
+
+def difference(page: list[tuple[str, int]], neighbours: list[list[tuple[str, int]]]) -> str:
+    """The text of a page without template lines, its neighbours being given nearest first."""
+    kinds, hashes = [k for _, k in page], lambda p: [line_hash(*x) for x in p]
+    shared = shared_lines(kinds, hashes(page), [hashes(n) for n in neighbours])
+    return "\n".join(t for i, (t, k) in enumerate(page) if stays(i, k, MAIN in kinds, shared))
+
+
+def stays(place: int, kind: int, article: bool, shared: set[int]) -> bool:
+    return kind == MAIN or (kind == OTHER and not article and place not in shared)
 
 
 def parsed(html: Column) -> Column:
-    """Blocks of pages as array<struct<text,kind>>."""
-    kind = pa.list_(pa.struct([("text", pa.string()), ("kind", pa.int32())]))
+    """Blocks of pages; the text is left out of those that are not part of the result whatever the neighbours are."""
+    kind = pa.list_(pa.struct([("text", pa.string()), ("kind", pa.int32()), ("hash", pa.int32())]))
+
+    def blocks(page: str | None) -> list[dict]:
+        found = lines(page)
+        article = any(k == MAIN for _, k in found)
+        return [{"text": t if stays(-1, k, article, set()) else None, "kind": k, "hash": line_hash(t, k)} for t, k in found]
+
+    @arrow_udf("array<struct<text:string,kind:int,hash:int>>")
+    def of(pages: pa.Array) -> pa.Array:
+        return pa.array([blocks(p.as_py()) for p in pages], kind)
+
+    return of(html)
+
+
+def hashed(html: Column) -> Column:
+    """Line hashes of pages."""
 
-    @arrow_udf("array<struct<text:string,kind:int>>")
+    @arrow_udf("array<int>")
     def of(pages: pa.Array) -> pa.Array:
-        return pa.array([[{"text": t, "kind": k} for t, k in lines(p.as_py())] for p in pages], kind)
+        return pa.array([[line_hash(*x) for x in lines(p.as_py())] for p in pages], pa.list_(pa.int32()))
 
     return of(html)
 
@@ -230,7 +260,8 @@ def with_neighbours(rows: DataFrame, parts: int) -> DataFrame:
     joined = near.join(F.broadcast(edge), F.col("part") == F.col("p"), "left")
     joined = joined.withColumn("before", F.coalesce("before", "left")).withColumn("after", F.coalesce("after", "right"))
     of = lambda c: F.when(F.col(f"{c}.host").eqNullSafe(F.col("host")), F.col(c))
-    return joined.select("k", "path", of("before").alias("before"), of("after").alias("after"))
+    slim = lambda c: F.when(of(c).isNotNull(), F.struct(F.col(f"{c}.path").alias("path"), F.col(f"{c}.hashes").alias("hashes")))
+    return joined.select("k", "path", slim("before").alias("before"), slim("after").alias("after"))
 
 
 def _shared_prefix(a: str, b: str) -> int:
@@ -250,21 +281,21 @@ def extract(df: DataFrame, url: str = "url", html: str = "html", parts: int | No
     host = F.lower(F.regexp_extract(link, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1))
     path = F.regexp_extract(link, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
     key = F.xxhash64(link, F.coalesce(F.col(html), F.lit("")))
-    hashes = lambda c: F.transform(c, lambda x: F.xxhash64(x["text"], x["kind"]))
-    light = df.select(key.alias("k"), host.alias("host"), path.alias("path"), hashes(parsed(F.col(html))).alias("hashes")).dropDuplicates(["k"])
+    light = df.select(key.alias("k"), host.alias("host"), path.alias("path"), hashed(F.col(html)).alias("hashes")).dropDuplicates(["k"])
     near = with_neighbours(light, parts).select(F.col("k").alias("_k"), F.col("path").alias("_path"), "before", "after")
     kept = [c for c in df.columns if c not in (html, "text")]
-    rows = df.select(*kept, key.alias("_key"), parsed(F.col(html)).alias("_lines")).withColumn("_own", hashes(F.col("_lines")))
+    rows = df.select(*kept, key.alias("_key"), parsed(F.col(html)).alias("_lines"))
 
     @arrow_udf("string")
-    def text(pages: pa.Array, own: pa.Array, paths: pa.Array, before: pa.Array, after: pa.Array) -> pa.Array:
+    def text(pages: pa.Array, paths: pa.Array, before: pa.Array, after: pa.Array) -> pa.Array:
         out = []
-        for page, mine, p, b, a in zip(pages, own, paths, before, after):
-            page = [(x["text"], x["kind"]) for x in page.as_py() or []]
-            near = [x for x in (b.as_py(), a.as_py()) if x]
-            near.sort(key=lambda x: -_shared_prefix(x["path"], p.as_py() or ""))
-            out.append(difference(page, mine.as_py() or [], [x["hashes"] for x in near]))
+        for page, p, b, a in zip(pages, paths, before, after):
+            page = page.as_py() or []
+            near = sorted((x for x in (b.as_py(), a.as_py()) if x), key=lambda x: -_shared_prefix(x["path"], p.as_py() or ""))
+            kinds = [x["kind"] for x in page]
+            shared = shared_lines(kinds, [x["hash"] for x in page], [x["hashes"] for x in near])
+            out.append("\n".join(x["text"] for i, x in enumerate(page) if stays(i, x["kind"], MAIN in kinds, shared)))
         return pa.array(out, pa.string())
 
     joined = rows.join(near, F.col("_key") == F.col("_k"), "left")
-    return joined.select(*kept, text("_lines", "_own", "_path", "before", "after").alias("text"))
+    return joined.select(*kept, text("_lines", "_path", "before", "after").alias("text"))
