@@ -61,7 +61,7 @@ class WordBpe:
         space = r"\t-\r \x85\xa0  -     　"
         self.words = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{space}\p{{L}}\p{{N}}]+").findall
         self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.known = Remembered(lambda word: struct.pack(f"<{len(ids := self.word(word))}I", *ids), 300_000)
+        self.known = Remembered(lambda word: struct.pack(f"<{len(ids := self.word(word))}I", *ids))
 
     def word(self, word: str) -> list[int]:
         raw = word.encode()
@@ -141,7 +141,7 @@ class Coder:
 
         @arrow_udf("binary")
         def packed(texts: pa.Array) -> pa.Array:
-            of = once(shared, WordBpe).encode
+            of = once(WordBpe, shared.value).encode
             return pa.array([of(t.as_py()) for t in texts], pa.binary())
 
         return packed(text)
@@ -154,7 +154,7 @@ class Coder:
         def texts(packed: pa.Array) -> pa.Array:
             import numpy as np
 
-            of = once(shared, WordBpe).decode
+            of = once(WordBpe, shared.value).decode
             return pa.array([of(np.frombuffer(b.as_py() or b"", dtype="<u4").tolist()) for b in packed], pa.string())
 
         return texts(ids)

@@ -53,19 +53,19 @@ def document_schema(df: DataFrame) -> list[str]:
     return [c for c in ("doc_id", "text", "lang", "source", "n_chars") if c in df.columns]
 
 
-_built: list[tuple[object, object, object]] = []
-
-
-def once(shared, make):
-    """``make(shared.value)``, made once per worker process for each broadcast value."""
-    value = shared.value
-    for v, m, found in _built:
-        if v is value and m is make:
-            return found
-    found = make(value)
-    _built.insert(0, (value, make, found))
-    del _built[4:]
-    return found
+#: What this worker process holds for the operator it runs now.
+_held: dict[str, object] = {}
+
+
+def once(make, value=None):
+    """``make(value)``, made once per worker process until another operator runs in it.
+
+    ``value`` is compared by identity, as the values of broadcasts are kept.
+    """
+    if _held.get("make") is not make or _held.get("value") is not value:
+        _held.clear()
+        _held.update(made=make(value), make=make, value=value)
+    return _held["made"]
 
 
 class Remembered(dict):

@@ -95,7 +95,7 @@ def counter(spark: SparkSession, pieces: list[tuple[str, float]]):
 
     @arrow_udf("long")
     def count(texts: pa.Array) -> pa.Array:
-        of = once(shared, Counter).text
+        of = once(Counter, shared.value).text
         return pa.array([of(t.as_py()) for t in texts], pa.int64())
 
     return count

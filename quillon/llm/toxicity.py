@@ -162,7 +162,7 @@ def _counts(rows: DataFrame) -> DataFrame:
                     entry = into[f]
                     entry[0] += 1 + math.log2(n)
                     entry[1] += 1
-                if len(found[0]) + len(found[1]) > 500_000:
+                if len(found[0]) + len(found[1]) > 200_000:
                     yield from flush()
         yield from flush()
 
@@ -227,7 +227,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
 
     @arrow_udf("struct<n:int,s:array<double>>")
     def seen(texts: pa.Array) -> pa.Array:
-        scorer = once(shared, Scorer)
+        scorer = once(Scorer, shared.value)
         found = [scorer.segments(t.as_py()) for t in texts]
         return pa.array([{"n": n, "s": [s for _, _, s in segments]} for n, segments in found], pa.struct([("n", pa.int32()), ("s", pa.list_(pa.float64()))]))
 
@@ -244,7 +244,7 @@ def toxicity(model: Model, spark) -> object:
 
     @arrow_udf(RESULT)
     def rate(texts: pa.Array) -> pa.Array:
-        scorer = once(shared, Scorer)
+        scorer = once(Scorer, shared.value)
         return pa.array([scorer.score(t.as_py()) for t in texts], kind)
 
     return rate
