@@ -25,7 +25,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as counts and digests."""
     (docs,) = tables(spark, sf_dir, "documents")
     coder = bpe.Coder(spark, vocabulary(WORD_VOCABULARY))
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "text"), coder).select("doc_id", "ids"), coder)
+    coded = bpe.round_trip(docs.select("doc_id", "text"), coder)
     return coded.select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
