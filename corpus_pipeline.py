@@ -44,7 +44,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as token ids (packed, little-endian unsigned 32-bit), with their number and the digest of the decoded text."""
     coder = bpe.Coder(spark, public_tokenizers.path("word_bpe_49k.json"))
-    coded = bpe.decode(bpe.encode(docs, coder), coder)
+    coded = bpe.round_trip(docs, coder)
     return coded.select("doc_id", "lang", "source", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
