@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import Remembered, fresh, once
+from .common import Remembered, bounded_batches, fresh, once
 
 LONG_WORD = 256
 _NONE = 1 << 60
@@ -133,6 +133,7 @@ class Coder:
     """Column functions of one vocabulary, which is broadcast once."""
 
     def __init__(self, spark: SparkSession, path: str):
+        bounded_batches(spark)
         self.shared = spark.sparkContext.broadcast(load(path))
 
     def encode(self, text: Column) -> Column:

@@ -22,6 +22,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from .common import bounded_batches
+
 MAIN, OTHER, TEMPLATE = 0, 1, 2
 #: A neighbour with over this share of a page's undecided lines is a copy.
 COPY = 0.8
@@ -276,6 +278,7 @@ def extract(df: DataFrame, url: str = "url", html: str = "html", parts: int | No
     of their own.  Repeated rows give the same text.  Only line hashes are
     dealt by URL; pages are joined with their neighbours' hashes once.
     """
+    bounded_batches(df.sparkSession)
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     link = F.coalesce(F.col(url), F.lit(""))
     host = F.lower(F.regexp_extract(link, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import fresh, materialize
+from .common import bounded_batches, fresh, materialize
 from .components import components
 
 SHINGLE = 3
@@ -98,6 +98,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text") -
     id keep their fingerprint and get the component of the others with it
     (null if there are none).  Repeated rows are repeated in the result.
     """
+    bounded_batches(df.sparkSession)
     fps = materialize(df.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint(F.col(text)).alias("fp")), "simhash")
     least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     pairs = links(fps.select("fp"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import Remembered, once
+from .common import Remembered, bounded_batches, once
 
 MARK = "▁"
 PENALTY = 10.0
@@ -91,6 +91,7 @@ class Counter:
 
 def counter(spark: SparkSession, pieces: list[tuple[str, float]]):
     """A column function: text -> number of tokens.  The vocabulary is broadcast; its size is the file's."""
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(pieces)
 
     @arrow_udf("long")

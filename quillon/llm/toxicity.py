@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from .common import Remembered, materialize, once
+from .common import Remembered, bounded_batches, materialize, once
 
 #: At most about so many labelled rows are learnt from (all, where there are fewer); also bounds the broadcast.
 MAX_LABELLED = 200_000
@@ -218,6 +218,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     Without toxic or without clean training rows the model has no features
     and gives every text the same score below one half.
     """
+    bounded_batches(docs.sparkSession)
     sample = labelled_sample(labels, id_col, label, most)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(sample), "doc_id").select("text", "toxic")
     model = Model(log_odds(materialize(_counts(rows).where("docs >= 3"), "toxicity")))
@@ -239,6 +240,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
 
 def toxicity(model: Model, spark) -> object:
     """A column function: text -> struct(score, passages)."""
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     kind = pa.struct([("score", pa.float64()), ("passages", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("expected", pa.float64())])))])
 
