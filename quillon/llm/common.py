@@ -32,7 +32,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1_000, size: str = "8m") -> None:
+def bounded_batches(spark: SparkSession, rows: int = 256, size: str = "2m") -> None:
     """Bound what a Python worker gets at once: whole texts can be long, so by bytes as well as by rows."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
@@ -77,7 +77,7 @@ def once(make, value=None):
 class Remembered(dict):
     """``make(key)`` by key, for the keys met lately: a full memory becomes the old one, from which keys still met return."""
 
-    def __init__(self, make, most: int = 200_000):
+    def __init__(self, make, most: int = 100_000):
         self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key: str):

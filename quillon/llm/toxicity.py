@@ -86,7 +86,7 @@ def maximal_segments(scores) -> list[tuple[int, int, float]]:
 
 class Scorer:
     def __init__(self, model: Model):
-        self.model, self.words = model, Remembered(self.word)
+        self.model, self.words = model, Remembered(self.word, 50_000)
 
     def word(self, word: str) -> float:
         """The log-odds of the word's most significant feature, less the drift."""
@@ -162,7 +162,7 @@ def _counts(rows: DataFrame) -> DataFrame:
                     entry = into[f]
                     entry[0] += 1 + math.log2(n)
                     entry[1] += 1
-                if len(found[0]) + len(found[1]) > 200_000:
+                if len(found[0]) + len(found[1]) > 120_000:
                     yield from flush()
         yield from flush()
 
