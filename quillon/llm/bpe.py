@@ -180,7 +180,7 @@ class Coder:
 def unpack(packed: Column) -> Column:
     """Packed ids as array<int>."""
     digits = F.hex(packed)
-    at = lambda i, k: F.substring(digits, i * 8 + 7 - 2 * k, F.lit(2))
+    at = lambda i, k: F.substring(digits, i * 8 + 1 + 2 * k, F.lit(2))
     number = lambda i: F.conv(F.concat(at(i, 3), at(i, 2), at(i, 1), at(i, 0)), 16, 10).cast("int")
     n = (F.octet_length(packed) / 4).cast("int")
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), number)).otherwise(F.array().cast("array<int>"))

@@ -104,7 +104,14 @@ def lines(html: str | None) -> list[tuple[str, int]]:
                 return MAIN if not any(t for _, t, _, _ in stack) else TEMPLATE
         return OTHER
 
-    at, raw = 0, None
+    def turn() -> None:
+        """What is open has changed: text so far belongs to what was open before."""
+        nonlocal kind
+        if (now := state()) != kind:
+            flush()
+            kind = now
+
+    at = 0
     for m in _MARKUP.finditer(html):
         if m.start() < at:
             continue
@@ -122,9 +129,8 @@ def lines(html: str | None) -> list[tuple[str, int]]:
         if closing:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
-                    flush()
                     del stack[i:]
-                    kind = state()
+                    turn()
                     break
             continue
         if tag in _VOID or (text.endswith("/") and tag not in _BLOCK):
@@ -157,8 +163,7 @@ def lines(html: str | None) -> list[tuple[str, int]]:
         if tag in _HEADINGS and inside:
             template = False
         stack.append((tag, template, main, header and inside and tag not in _HEADINGS))
-        flush()
-        kind = state()
+        turn()
     piece.append(html[at:])
     flush()
     return found
@@ -243,13 +248,13 @@ def hashed(html: Column) -> Column:
 
 
 def with_neighbours(rows: DataFrame, parts: int) -> DataFrame:
-    """(k, before, after): line hashes of the previous and next page of the same host by path.
+    """(host, path, before, after): line hashes of the previous and next path of the same host.
 
     Pages are dealt into ranges of (host, path), so a host may have any share
     of them; the ends of a range meet the next range's through a table with
     two rows per range.
     """
-    order = ["host", "path", "k"]
+    order = ["host", "path"]
     dealt = rows.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id())
     w = W.partitionBy("part").orderBy(*order)
     page = F.struct("host", "path", "hashes")
@@ -263,7 +268,7 @@ def with_neighbours(rows: DataFrame, parts: int) -> DataFrame:
     joined = joined.withColumn("before", F.coalesce("before", "left")).withColumn("after", F.coalesce("after", "right"))
     of = lambda c: F.when(F.col(f"{c}.host").eqNullSafe(F.col("host")), F.col(c))
     slim = lambda c: F.when(of(c).isNotNull(), F.struct(F.col(f"{c}.path").alias("path"), F.col(f"{c}.hashes").alias("hashes")))
-    return joined.select("k", "path", slim("before").alias("before"), slim("after").alias("after"))
+    return joined.select("host", "path", slim("before").alias("before"), slim("after").alias("after"))
 
 
 def _shared_prefix(a: str, b: str) -> int:
@@ -274,20 +279,21 @@ def _shared_prefix(a: str, b: str) -> int:
 def extract(df: DataFrame, url: str = "url", html: str = "html", parts: int | None = None) -> DataFrame:
     """Add ``text``: the main text of every page, blocks joined by line ends.
 
-    Null and empty pages give an empty text; pages without a URL are one host
-    of their own.  Repeated rows give the same text.  Only line hashes are
-    dealt by URL; pages are joined with their neighbours' hashes once.
+    Null and empty pages give an empty text; pages without a URL have no
+    neighbours.  Repeated rows give the same text.  Only line hashes are dealt
+    by URL; pages are joined with their neighbours' hashes once.
     """
     bounded_batches(df.sparkSession)
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     link = F.coalesce(F.col(url), F.lit(""))
     host = F.lower(F.regexp_extract(link, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1))
     path = F.regexp_extract(link, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
-    key = F.xxhash64(link, F.coalesce(F.col(html), F.lit("")))
-    light = df.select(key.alias("k"), host.alias("host"), path.alias("path"), hashed(F.col(html)).alias("hashes")).dropDuplicates(["k"])
-    near = with_neighbours(light, parts).select(F.col("k").alias("_k"), F.col("path").alias("_path"), "before", "after")
+    # copies of a page under one path are not each other's neighbours: one stands for the path
+    first = F.min_by("hashes", F.xxhash64("hashes"))
+    light = df.select(host.alias("host"), path.alias("path"), hashed(F.col(html)).alias("hashes")).groupBy("host", "path").agg(first.alias("hashes"))
+    near = with_neighbours(light, parts).select(F.xxhash64("host", "path").alias("_k"), F.col("path").alias("_path"), "before", "after")
     kept = [c for c in df.columns if c not in (html, "text")]
-    rows = df.select(*kept, key.alias("_key"), parsed(F.col(html)).alias("_lines"))
+    rows = df.select(*kept, F.xxhash64(host, path).alias("_key"), parsed(F.col(html)).alias("_lines"))
 
     @arrow_udf("string")
     def text(pages: pa.Array, paths: pa.Array, before: pa.Array, after: pa.Array) -> pa.Array:

@@ -19,8 +19,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SCALE = 1024
-#: Vectors of a lane, queries of a group, vectors of a leaf, children of a node, vectors of the sample.
-LANE, GROUP, LEAF, FANOUT, SAMPLE = 32_768, 1_024, 256, 12, 1_024
+#: Vectors of a lane, queries of a group, vectors and queries of a leaf, children of a node, vectors of the sample.
+LANE, GROUP, LEAF, QUERY_LEAF, FANOUT, SAMPLE = 32_768, 1_024, 256, 16, 12, 1_024
 TREE = "ids binary, vectors binary, width int, nodes binary"
 
 
@@ -43,7 +43,7 @@ class CoverTree:
         self.ids, self.vectors, self.nodes = ids, vectors, nodes
 
     @classmethod
-    def build(cls, ids, vectors):
+    def build(cls, ids, vectors, leaf: int = LEAF):
         import numpy as np
 
         x = vectors.astype(np.float64)
@@ -55,7 +55,7 @@ class CoverTree:
             centre = int(np.argmin(((x[rows] - x[rows].mean(0)) ** 2).sum(1))) if len(rows) else 0
             away = np.sqrt(((x[rows] - x[rows[centre]]) ** 2).sum(1)) if len(rows) else np.zeros(0)
             radius, child, last = float(away.max(initial=0.0)), 0, 0
-            if len(rows) > LEAF and radius > 0:
+            if len(rows) > leaf and radius > 0:
                 # a net of the node: the farthest row becomes a centre until all are within half the radius
                 near, which, k = away.copy(), np.zeros(len(rows), np.int64), 1
                 while near.max() > radius / 2 and k < FANOUT:
@@ -175,7 +175,7 @@ def _matrix(rows):
     return out
 
 
-def _trees(vectors: DataFrame, most: int, n: int, name: str) -> DataFrame:
+def _trees(vectors: DataFrame, most: int, n: int, name: str, leaf: int) -> DataFrame:
     """One tree per group of about ``most`` of the ``n`` vectors."""
     parts = max(1, math.ceil(n / most))
 
@@ -183,7 +183,7 @@ def _trees(vectors: DataFrame, most: int, n: int, name: str) -> DataFrame:
         import numpy as np
 
         ids = np.array(table.column("vec_id").to_pylist(), np.int64)
-        tree = CoverTree.build(ids, _matrix(table.column("v").to_pylist())).pack()
+        tree = CoverTree.build(ids, _matrix(table.column("v").to_pylist()), leaf).pack()
         return pa.Table.from_pylist([{name: table.column(name)[0].as_py(), **tree}], pa.schema([(name, pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary()), ("width", pa.int32()), ("nodes", pa.binary())]))
 
     dealt = vectors.withColumn(name, F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int"))
@@ -206,8 +206,8 @@ def top_k(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id",
     some = vectors.where(F.pmod(F.xxhash64(F.lit(7), "vec_id"), F.lit(max(1, math.ceil(n / SAMPLE)))) == 0).select("vec_id", "v").limit(4 * SAMPLE)
     sample = spark.sparkContext.broadcast([(r["vec_id"], r["v"]) for r in some.collect()])
     lanes = max(1, math.ceil(n / LANE))
-    data = _trees(vectors.select("vec_id", "v"), LANE, n, "lane")
-    groups = _trees(vectors.where("q").select("vec_id", "v"), GROUP, nq, "grp")
+    data = _trees(vectors.select("vec_id", "v"), LANE, n, "lane", LEAF)
+    groups = _trees(vectors.where("q").select("vec_id", "v"), GROUP, nq, "grp", QUERY_LEAF)
     prefixed = groups.select(*[F.col(c).alias("q_" + c) for c in groups.columns], F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"))
 
     def meet(batches):
