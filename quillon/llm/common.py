@@ -17,7 +17,7 @@ def scratch_dir(spark: SparkSession) -> str:
 
     A local folder is used only where the session names none (tests).
     """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("quillon.scratch.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("quillon.scratch.dir", None)
     if not named:
         named = "file://" + tempfile.mkdtemp(prefix="quillon-")
         spark.conf.set("quillon.scratch.dir", named)

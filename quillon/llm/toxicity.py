@@ -132,6 +132,11 @@ def labelled_sample(labels: DataFrame, id_col: str = "doc_id", label: str = "tox
     return rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
 
 
+def _step(x: float) -> float:
+    """``x`` to a multiple of 2**-20: sums of such numbers are exact, so they do not depend on the order of rows."""
+    return round(x * 2**20) / 2**20
+
+
 def _counts(rows: DataFrame) -> DataFrame:
     """(feature, y1, y0, docs) by label: each document adds 1 + log2 of a feature's occurrences.
 
@@ -160,7 +165,7 @@ def _counts(rows: DataFrame) -> DataFrame:
                 into = found[1 if toxic else 0]
                 for f, n in own.items():
                     entry = into[f]
-                    entry[0] += 1 + math.log2(n)
+                    entry[0] += 1 + _step(math.log2(n))
                     entry[1] += 1
                 if len(found[0]) + len(found[1]) > 120_000:
                     yield from flush()
@@ -183,23 +188,31 @@ def log_odds(counts: DataFrame, most: int = MAX_FEATURES) -> dict[str, tuple[flo
     return {r["feature"]: (math.copysign(abs(r["d"]) - r["sd"], r["d"]), r["z"]) for r in best}
 
 
-def _law(model: Model, rows: list[tuple[int, int, list[float]]]) -> None:
+def _law(model: Model, rated: DataFrame) -> None:
     """Fit the extreme-value law to the segments of the clean training texts."""
-    words = sum(n for t, n, _ in rows if not t) + 1
-    clean = [s for t, _, found in rows if not t for s in found] or [1.0]
+    total = F.sum(F.aggregate("s", F.lit(0.0), lambda a, x: a + x))
+    words, n, score = (x or 0 for x in rated.where("toxic = 0").agg(F.sum("n"), F.sum(F.size("s")), total).first())
     # scores of segments in clean text fall off exponentially: its rate, with one prior segment
-    model.rate = min(1.0, (len(clean) + 1) / (sum(clean) + 2.0))
-    model.space = (len(clean) + 1) / words
+    n, score = (n, score) if n else (1, 1.0)
+    model.rate = min(1.0, (n + 1) / (score + 2.0))
+    model.space = (n + 1) / (words + 1)
+
 
+def _excess(model: Model) -> Column:
+    """``Scorer.excess`` of the columns n and s."""
+    chance = F.lit(math.log(model.space)) + F.log(F.greatest(F.col("n"), F.lit(1)).cast("double"))
+    return F.aggregate("s", F.lit(0.0), lambda a, x: a + F.greatest(F.lit(0.0), F.lit(model.rate) * x - chance))
 
-def _calibrate(model: Model, rows: list[tuple[int, int, list[float]]]) -> None:
-    """Logistic fit of the label on the summed excess, by Newton steps with a small ridge."""
+
+def _calibrate(model: Model, rated: DataFrame) -> None:
+    """Logistic fit of the label on the summed excess, by Newton steps with a small ridge.
+
+    Two numbers a row reach the driver, of the bounded training rows only, whatever the length of their texts.
+    """
     import numpy as np
 
-    scorer = Scorer(model)
-    x = np.array([scorer.excess(n, [(0, 0, s) for s in found]) for _, n, found in rows])
-    y = np.array([float(t) for t, _, _ in rows])
-    x = np.minimum(x, 50.0)
+    rows = sorted((r["x"], float(r["toxic"])) for r in rated.select("toxic", F.least(_excess(model), F.lit(50.0)).alias("x")).collect())
+    x, y = np.array([x for x, _ in rows]), np.array([y for _, y in rows])
     w, design = np.zeros(2), np.stack([np.ones_like(x), x], 1)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
@@ -230,9 +243,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     def seen(texts: pa.Array) -> pa.Array:
         scorer = once(Scorer, shared.value)
         found = [scorer.segments(t.as_py()) for t in texts]
-        return pa.array([{"n": n, "s": [s for _, _, s in segments]} for n, segments in found], pa.struct([("n", pa.int32()), ("s", pa.list_(pa.float64()))]))
+        return pa.array([{"n": n, "s": [_step(s) for _, _, s in segments]} for n, segments in found], pa.struct([("n", pa.int32()), ("s", pa.list_(pa.float64()))]))
 
-    rated = [(r["toxic"], r["x"]["n"], r["x"]["s"]) for r in rows.select("toxic", seen("text").alias("x")).collect()]  # numbers of at most ``most`` rows
+    rated = materialize(rows.select("toxic", seen("text").alias("x")).select("toxic", "x.n", "x.s"), "segments")
     _law(model, rated)
     _calibrate(model, rated)
     return model
