@@ -109,6 +109,23 @@ def test_passages(spark):
     assert left[2] == texts[2][:30] + texts[2][90:] and left[3] == texts[3][52:] and all(left[i] == texts[i] for i in (1, 4, 5, 7))
 
 
+def test_repetitions_within_a_passage(spark):
+    """Copies of texts that repeat a line, or one word over and over, are covered as a whole."""
+    rng = random.Random(3)
+    line = words(rng, 12)
+    docs = [(1, line * 5), (2, line * 5), (3, words(rng, 9) + line * 6), (4, words(rng, 5) + ["the"] * 70), (5, words(rng, 7) + ["the"] * 70 + words(rng, 7))]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in docs], "doc_id long, text string")
+    covered = {}
+    for r in substring.passages(df).collect():
+        covered.setdefault(r["doc_id"], set()).update(range(r["start_word"], r["end_word"]))
+    assert covered == {2: set(range(60)), 3: set(range(9, 81)), 5: set(range(7, 77))}
+
+
+def test_occurrences():
+    assert substring.occurrences(np.array([5, 7, 5, 5, 7], np.int64)).tolist() == [0, 0, 1, 2, 1]
+    assert substring.occurrences(np.zeros(0, np.int64)).tolist() == []
+
+
 def test_no_exact_passage_is_missed(spark, docs):
     """Every window of 50 words that an earlier document has is covered, but in texts of one word over and over."""
     covered = {}
