@@ -1,6 +1,8 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from quillon.llm import components, registry, simhash, spotsigs, substring
@@ -121,21 +123,25 @@ def test_repetitions_within_a_passage(spark):
     assert covered == {2: set(range(60)), 3: set(range(9, 81)), 5: set(range(7, 77))}
 
 
-def test_occurrences():
-    assert substring.occurrences(np.array([5, 7, 5, 5, 7], np.int64)).tolist() == [0, 0, 1, 2, 1]
-    assert substring.occurrences(np.zeros(0, np.int64)).tolist() == []
+def test_word_hashes():
+    texts = pa.array(["A b\tc", None, "", "x" * 100 + " ü", " b ", "Ü"])
+    h, begins = substring.word_hashes(texts)
+    assert begins.tolist() == [0, 3, 3, 3, 5, 6, 7] and h[1] == h[5] and h[4] == h[6] and len(set(h.tolist())) == 5
+    some = ["a bb ccc " * 50, "dd"]
+    whole = substring.word_hashes(pa.array(some))
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(substring, "CHUNK", 7)
+        assert all((x == y).all() for x, y in zip(whole, substring.word_hashes(pa.array(some))))
 
 
 def test_no_exact_passage_is_missed(spark, docs):
-    """Every window of 50 words that an earlier document has is covered, but in texts of one word over and over."""
+    """Every window of 50 words that an earlier document has is covered."""
     covered = {}
     for r in substring.passages(docs).collect():
         covered.setdefault(r["doc_id"], set()).update(range(r["start_word"], r["end_word"]))
     first = {}
     for r in docs.orderBy("doc_id").collect():
-        w = substring.word_hashes(r["text"]).tolist()
-        if len(set(w)) * 4 < len(w):
-            continue
+        w = (r["text"] or "").lower().split()
         for i in range(len(w) - 49):
             if first.setdefault(tuple(w[i : i + 50]), r["doc_id"]) != r["doc_id"]:
                 assert set(range(i, i + 50)) <= covered.get(r["doc_id"], set())
@@ -150,10 +156,32 @@ def test_substring_edges(spark, edge, empty):
 
 def test_chain_and_align():
     a, b = np.arange(100, dtype=np.uint32), np.r_[np.arange(500, 520), np.arange(40), [999], np.arange(41, 100)].astype(np.uint32)
-    anchors = [(i, i + 20) for i in (2, 9, 20, 50, 70, 90)] + [(30, 3), (5, 100)]
-    best = substring.chains(anchors)[0]
-    assert best == [(i, i + 20) for i in (2, 9, 20, 50, 70, 90)]
-    assert substring.repeated(best, a, b) == (0, 100, 20, 120, 99)
+    x = np.array([2, 9, 20, 50, 70, 90, 30, 5])
+    y = np.array([22, 29, 40, 70, 90, 110, 3, 100])
+    row, source, *parts = substring.segments(np.zeros(8, int), np.ones(8, int), x, y)
+    parts = list(zip(*(p.tolist() for p in parts)))
+    best = substring.chains(parts)[0]
+    assert [(p[0], p[1]) for p in best] == [(2, 22), (50, 70)] and best[0][2:] == (18 + substring.K, 3 * substring.K)
+    assert substring.all_repeated(best, a, b) == [(0, 100, 20, 120, 99)]
+
+
+def brute_chains(parts):
+    """Best score over all ascending sequences of segments."""
+    K, best = substring.K, {}
+    for i in sorted(range(len(parts)), key=lambda i: parts[i]):
+        x, y, n, c = parts[i]
+        before = [best[j] - substring.GAP * (x - parts[j][0] + y - parts[j][1] - 2 * parts[j][2]) for j in best if parts[j][0] + parts[j][2] - K + 1 <= x and parts[j][1] + parts[j][2] - K + 1 <= y]
+        best[i] = c + max([0, *before])
+    return max(best.values())
+
+
+def test_chains_score_as_brute_force():
+    rng = random.Random(11)
+    for _ in range(60):
+        parts = sorted({(rng.randrange(50), rng.randrange(50), n, n) for n in (rng.randrange(5, 12) for _ in range(12))})
+        chain = substring.chains(parts)[0]
+        score = sum(p[3] for p in chain) - substring.GAP * sum(q[0] - p[0] + q[1] - p[1] - 2 * p[2] for p, q in zip(chain, chain[1:]))
+        assert score == pytest.approx(brute_chains(parts))
 
 
 def test_registered_queries_cover_all_rows(spark, small, docs):
