@@ -2,7 +2,12 @@
 
 Sizes are summed per source; a source's repetition rate is its target over
 its size; a document is emitted floor(rate) times, and once more with
-probability equal to the fraction, decided by a hash of its identifier.
+probability equal to the fraction.  The draws are hash-seeded and stratified:
+a source's documents are dealt into shards by a hash of their identifiers and
+ordered by size, and the additional copies are spread evenly over that order
+from a start that a hash of the shard fixes.  So every document has the same
+chance as by a draw of its own, while the words a shard takes differ from its
+share of the target by less than the size of its largest document.
 """
 
 from __future__ import annotations
@@ -17,10 +22,12 @@ WEIGHTS = (5, 2, 1)
 MAX_RATE = 3
 #: Targets are broadcast up to this number of sources, and joined by shuffling beyond it.
 MOST_SOURCES = 100_000
+#: Documents of a shard, about: a source of any size is dealt to as many tasks as it needs.
+SHARD = 50_000
 
 
 def draw(identifier: Column) -> Column:
-    """A number in [0, 1) fixed by the identifier: the first 13 hexadecimal digits of its MD5."""
+    """A number in [0, 1) fixed by a text or number: the first 13 hexadecimal digits of its MD5."""
     return F.conv(F.substring(F.md5(identifier.cast("string")), 1, 13), 16, 10).cast("long").cast("double") / F.lit(float(16**13))
 
 
@@ -63,25 +70,28 @@ def plan(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
 
     Null and empty texts have size 0 and are still emitted by the rate.  A
     null source is a source of its own, the last.  A source of size 0 has
-    target 0 and copies 0.  Rows that repeat an identifier share its draw; a
-    null identifier draws by the text.  Columns of these names are replaced.
+    target 0 and copies 0.  The words taken of a source differ from its target
+    by less than its largest document for every SHARD documents it has, and
+    far less on average.  Rows that repeat an identifier are in one shard; a
+    null identifier is dealt by the text.  Columns of these names are replaced.
     """
     taken = [c for c in df.columns if c not in ("size", "source_size", "target", "copies")]
     rows = df.select(*taken).withColumn("size", word_count(F.col(text)))
-    sizes = materialize(rows.groupBy(F.col(source).alias("source")).agg(F.sum("size").alias("source_size")), "sources")
+    sizes = materialize(rows.groupBy(F.col(source).alias("source")).agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), "sources")
     goal = targets(weights_by_order(sizes, weights), max_rate)
-    name = fresh("_source", taken)
-    goal = goal.select(F.col("source").alias(name), "source_size", "target")
+    name, shards, shard, chance = (fresh(c, taken) for c in ("_source", "_shards", "_shard", "_chance"))
+    goal = goal.select(F.col("source").alias(name), "source_size", "target", F.ceil(F.col("n") / SHARD).alias(shards))
     if sizes.count() <= MOST_SOURCES:
         goal = F.broadcast(goal)
+    # hashed before the join, so that a text that is not asked for does not travel
+    rows = rows.withColumn(chance, draw(F.coalesce(F.col(id_col).cast("string"), F.col(text), F.lit(""))))
+    joined = rows.join(goal, rows[source].eqNullSafe(F.col(name)), "left").withColumn(shard, F.floor(F.col(chance) * F.col(shards)).cast("long"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(rate)
-    # drawn before the join, so that a text that is not asked for does not travel
-    chance = fresh("_chance", taken)
-    rows = rows.withColumn(chance, draw(F.coalesce(F.col(id_col).cast("string"), F.col(text), F.lit(""))))
-    copies = whole + (F.col(chance) < rate - whole).cast("long")
-    joined = rows.join(goal, rows[source].eqNullSafe(F.col(name)), "left")
-    return joined.withColumn("copies", copies.cast("long")).drop(name, chance)
+    place = F.row_number().over(W.partitionBy(source, shard).orderBy("size", chance))
+    start = draw(F.concat(F.coalesce(F.col(source), F.lit("")), F.lit("#"), F.col(shard).cast("string")))
+    upto = lambda n: F.floor(start + n.cast("double") * (rate - whole))
+    return joined.withColumn("copies", (whole + upto(place) - upto(place - 1)).cast("long")).drop(name, shards, shard, chance)
 
 
 def mix(df: DataFrame, **options) -> DataFrame:

@@ -142,7 +142,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
     "op7_mixing": r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
-s AS (SELECT source, sum(size)::BIGINT AS source_size, 3 * sum(size)::BIGINT AS cap,
+s AS (SELECT source, sum(size)::BIGINT AS source_size, 3 * sum(size)::BIGINT AS cap, ceil(count(*) / 50000)::BIGINT AS shards,
         [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w FROM d GROUP BY source),
 r AS (SELECT *, cap * (10 // w) AS ratio FROM s),
 o AS (SELECT ratio, sum(cap) AS cap, sum(w) AS w FROM r GROUP BY ratio),
@@ -150,11 +150,14 @@ k AS (SELECT ratio, sum(cap) OVER (ORDER BY ratio) - cap AS held, sum(w) OVER (O
 t AS (SELECT sum(source_size) AS total, sum(w) AS spread FROM s),
 l AS (SELECT (total - held)::DOUBLE / (spread - used)::DOUBLE AS share, ratio FROM k, t
       WHERE ratio * (spread - used) > 10 * (total - held) ORDER BY ratio LIMIT 1),
-g AS (SELECT r.source, r.source_size, CASE WHEN l.ratio IS NULL OR r.ratio < l.ratio THEN r.cap::DOUBLE ELSE r.w * l.share END AS target FROM r LEFT JOIN l ON true),
-x AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+g AS (SELECT r.source, r.source_size, r.shards, CASE WHEN l.ratio IS NULL OR r.ratio < l.ratio THEN r.cap::DOUBLE ELSE r.w * l.share END AS target FROM r LEFT JOIN l ON true),
+x AS (SELECT doc_id, d.source, size, source_size, target, shards, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
         ('0x' || substr(md5(doc_id::VARCHAR), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u
-      FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, source_size, target, ((floor(rate)::BIGINT + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM x""",
+      FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+y AS (SELECT *, floor(u * shards)::BIGINT AS shard FROM x),
+z AS (SELECT *, rate - floor(rate) AS part, row_number() OVER (PARTITION BY source, shard ORDER BY size, u)::DOUBLE AS place,
+        ('0x' || substr(md5(coalesce(source, '') || '#' || shard), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS start FROM y)
+SELECT doc_id, size, source_size, target, ((floor(rate) + floor(start + place * part) - floor(start + (place - 1) * part))::BIGINT * size)::BIGINT AS taken FROM z""",
     "op10_chat": """
 WITH m AS (SELECT conv_id, turn::BIGINT AS turn, role, coalesce(text, '') AS text FROM conversations),
 e AS (SELECT *, CASE role WHEN 'user' THEN 1 WHEN 'assistant' THEN 2 ELSE 0 END AS kind,

@@ -62,6 +62,19 @@ def test_mixing_targets(spark, small):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, registry.op7_mixing(spark, small).collect()))
 
 
+def test_taken_words_come_near_the_targets(spark, monkeypatch):
+    """Within the largest document of the source for every shard, and within 5 % where no document is large."""
+    for shard in (mixing.SHARD, 20):
+        monkeypatch.setattr(mixing, "SHARD", shard)
+        docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+        rows = mixing.plan(docs).groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"), F.first("target").alias("target"), F.max("size").alias("most"), F.count("*").alias("n")).collect()
+        assert len(rows) > 5
+        assert all(abs(r["taken"] - r["target"]) <= r["most"] * (-(-r["n"] // shard)) for r in rows)
+    even = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 7).alias("source"), F.expr("repeat('w ', 50 + int(id % 31))").alias("text"))
+    for r in mixing.plan(even).groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"), F.first("target").alias("target")).collect():
+        assert abs(r["taken"] - r["target"]) <= 0.05 * r["target"]
+
+
 def test_targets_share_all_and_stop_at_the_limit(spark):
     sizes = [("a", 10), ("b", 1000), ("c", 5), (None, 500), ("d", 0)]
     s = mixing.weights_by_order(spark.createDataFrame(sizes, "source string, source_size long"))
