@@ -7,7 +7,6 @@ last return the columns of ``documents``.
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +42,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as token ids (packed, little-endian unsigned 32-bit), with their number and the digest of the decoded text."""
+    import public_tokenizers
+
     coder = bpe.Coder(spark, public_tokenizers.path("word_bpe_49k.json"))
     coded = bpe.round_trip(docs, coder)
     return coded.select("doc_id", "lang", "source", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
@@ -58,7 +59,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, from ``documents``."""
+    """All stages, from ``documents``.
+
+    Null and empty texts pass all stages as empty ones; rows without an id
+    are known by a hash of their text.  Rows that share an id are one
+    document, of which near-dedup keeps one.  An empty table gives an empty
+    result.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,27 +14,49 @@ WORD = r"[^\x20\x09-\x0D]++"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: ``spark.checkpoint.dir``.
+    """The shared folder for intermediate tables: the checkpoint folder of the session.
 
-    A local folder is used only where the session names none (tests).
+    A local folder is used only where none is set and everything runs in one
+    process (tests); on a cluster that is an error, as each executor would
+    write to a disk of its own.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("quillon.scratch.dir", None)
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or spark.conf.get("quillon.scratch.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="quillon-")
         spark.conf.set("quillon.scratch.dir", named)
-    return named.rstrip("/")
+    return f"{named.rstrip('/')}/quillon-{context.applicationId}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    The tables stay until ``release``.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; results that are not yet written are lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def text_key(id_col: str, text: str) -> Column:
+    """The id of a row as a long; rows without one are known by a hash of their text, above all usual ids."""
+    return F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.col(text)).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62)))
+
+
 def bounded_batches(spark: SparkSession, rows: int = 256, size: str = "2m") -> None:
-    """Bound what a Python worker gets at once: whole texts can be long, so by bytes as well as by rows."""
+    """Bound what a Python worker gets at once: whole texts can be long, so by bytes as well as by rows.
+
+    The settings stay, as a result may be computed long after the operator was called.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import bounded_batches, fresh, materialize
+from .common import bounded_batches, fresh, materialize, text_key
 from .components import components
 
 SHINGLE = 3
@@ -110,12 +110,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text") -
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` that stand for their component, all columns kept.
+    """The rows of ``df`` that stand for their component, all columns kept: the ones with the smallest id.
 
-    Rows without an id cannot be told apart and are kept.  Of repeated rows
-    with the same id one is kept.
+    Rows without an id are known by a hash of their text and come after all
+    others, so a copy of a row with an id goes and one of several copies
+    without stays.  Rows that share an id are one document: the one with the
+    smallest hash of its text stays, whatever the order of the rows.
     """
-    keep = near_duplicates(df, id_col, text).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    mark = fresh("_kept", df.columns)
-    rows = df.join(keep.withColumnRenamed("_kept", mark), F.col(id_col) == F.col(mark), "left_semi").dropDuplicates([id_col])
-    return rows.unionByName(df.where(F.col(id_col).isNull()))
+    key, mark, least = (fresh(c, df.columns) for c in ("_key", "_kept", "_least"))
+    keyed = df.withColumn(key, text_key(id_col, text))
+    keep = near_duplicates(keyed, key, text).where("doc_id = component_id").select(F.col("doc_id").alias(mark)).distinct()
+    # of the rows of one id, the one with the smallest hash
+    some = keyed.groupBy(F.col(key).alias(mark)).agg(F.min(F.xxhash64(text)).alias(least), F.count("*").alias("n")).where("n > 1").drop("n")
+    kept = keyed.join(keep, F.col(key) == F.col(mark), "left_semi").join(some, F.col(key) == F.col(mark), "left")
+    return kept.where(F.col(least).isNull() | (F.xxhash64(text) == F.col(least))).dropDuplicates([key]).select(*df.columns)

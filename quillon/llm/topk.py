@@ -1,12 +1,16 @@
 """Exact top-k by inner product: a dual-tree search over cover trees.
 
-Vectors are dealt into lanes of bounded size and every lane is indexed by a
+Vectors are dealt into lanes by their nearest pivot (of a bounded sample), in
+as many lanes a pivot as their number asks for, and every lane is indexed by a
 cover tree; queries are dealt into groups of bounded size, each with a tree of
-its own.  Every group meets every lane once.  Within a meeting both trees are
-descended together: a pair of nodes is dropped when the largest inner product
-that their centres and covering radii allow is below the worst kth score of
-the node's queries.  The kth scores start from a bounded sample of the
-vectors, so they prune from the first pair on.  All products are whole numbers.
+its own.  A group meets a lane only if the lane's root, its centre and
+covering radius, lets one of the group's queries reach its kth score so far.
+Within a meeting both trees are descended together: a pair of nodes is dropped
+when the largest inner product that their centres and covering radii allow is
+below the worst kth score of the node's queries.  The kth scores start from
+the sample, so they prune from the first pair on.  All products are whole
+numbers.  Where vectors have no clusters (random directions), no bound can
+drop a pair and every query meets every vector, in blocks.
 """
 
 from __future__ import annotations
@@ -14,13 +18,20 @@ from __future__ import annotations
 import math
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
+
+from .common import materialize
 
 SCALE = 1024
-#: Vectors of a lane, queries of a group, vectors and queries of a leaf, children of a node, vectors of the sample.
-LANE, GROUP, LEAF, QUERY_LEAF, FANOUT, SAMPLE = 32_768, 1_024, 256, 16, 12, 1_024
+#: Vectors of a lane, queries of a group, vectors and queries of a leaf, children of a node, vectors of the sample, pivots.
+LANE, GROUP, LEAF, QUERY_LEAF, FANOUT, SAMPLE, PIVOTS = 32_768, 1_024, 256, 16, 12, 1_024, 64
+#: Least vectors of a lane (fewer lanes than cores are no use), bytes of a lane or group at most, groups that meet a lane in one task.
+LEAST_LANE, LANE_BYTES, MEETINGS = 2_048, 1 << 25, 16
+#: Roots of lanes are sent to all tasks up to this number; beyond it every group meets every lane.
+MOST_ROOTS = 50_000
 TREE = "ids binary, vectors binary, width int, nodes binary"
 
 
@@ -165,70 +176,162 @@ def search(queries: CoverTree, data: CoverTree, best: Best) -> int:
     return compared
 
 
-def _matrix(rows):
+def _matrix(rows: pa.Array):
+    """The vectors of a list array as rows, shorter ones filled up with zeros."""
     import numpy as np
 
-    width = max(map(len, rows), default=0)
-    out = np.zeros((len(rows), width), np.int64)
-    for i, r in enumerate(rows):
-        out[i, : len(r)] = r
+    lengths = rows.value_lengths().to_numpy(zero_copy_only=False)
+    width = int(lengths.max()) if len(lengths) else 0
+    flat = rows.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    if (lengths == width).all():
+        return flat.reshape(len(lengths), width)
+    out = np.zeros((len(lengths), width), np.int64)
+    out[np.arange(width) < lengths[:, None]] = flat
     return out
 
 
-def _trees(vectors: DataFrame, most: int, n: int, name: str, leaf: int) -> DataFrame:
-    """One tree per group of about ``most`` of the ``n`` vectors."""
-    parts = max(1, math.ceil(n / most))
+def _pivots(vectors, most: int):
+    """Rows far from each other: the first, then always the one farthest from those chosen."""
+    import numpy as np
+
+    x, chosen = vectors.astype(np.float64), [0]
+    near = ((x - x[0]) ** 2).sum(1)
+    while len(chosen) < most and near.max() > 0:
+        chosen.append(int(near.argmax()))
+        near = np.minimum(near, ((x - x[chosen[-1]]) ** 2).sum(1))
+    return x[chosen]
+
+
+def _nearest(shared, vector: str):
+    """Number of the pivot nearest to a vector."""
+
+    @arrow_udf("int")
+    def of(rows: pa.Array) -> pa.Array:
+        import numpy as np
+
+        x, p = _matrix(rows).astype(np.float64), shared.value
+        w = max(x.shape[1], p.shape[1])
+        x, p = (np.pad(m, ((0, 0), (0, w - m.shape[1]))) for m in (x, p))
+        return pa.array(((p**2).sum(1) - 2 * (x @ p.T)).argmin(1).astype(np.int32))
+
+    return of(vector)
+
+
+def _trees(vectors: DataFrame, most: int, name: str, leaf: int, spark: SparkSession) -> DataFrame:
+    """One tree for about ``most`` vectors of a pivot; the numbers of vectors by pivot are counted first."""
+    counts = {r["pivot"]: r["count"] for r in vectors.groupBy("pivot").count().collect()}  # a row a pivot
+    offsets, at = {}, 0
+    for p, c in sorted(counts.items()):
+        parts = math.ceil(c / most)
+        offsets[p], at = (at, parts), at + parts
 
     def build(table: pa.Table) -> pa.Table:
         import numpy as np
 
-        ids = np.array(table.column("vec_id").to_pylist(), np.int64)
-        tree = CoverTree.build(ids, _matrix(table.column("v").to_pylist()), leaf).pack()
+        ids = table.column("vec_id").to_numpy().astype(np.int64)
+        tree = CoverTree.build(ids, _matrix(table.column("v").combine_chunks()), leaf).pack()
         return pa.Table.from_pylist([{name: table.column(name)[0].as_py(), **tree}], pa.schema([(name, pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary()), ("width", pa.int32()), ("nodes", pa.binary())]))
 
-    dealt = vectors.withColumn(name, F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int"))
-    return dealt.groupBy(name).applyInArrow(build, f"{name} int, {TREE}")
+    place = spark.createDataFrame([(p, o, n) for p, (o, n) in offsets.items()], "pivot int, _offset int, _parts int")
+    dealt = vectors.join(F.broadcast(place), "pivot").withColumn(name, (F.col("_offset") + F.pmod(F.xxhash64("vec_id", "v"), F.col("_parts"))).cast("int"))
+    return dealt.select(name, "vec_id", "v").groupBy(name).applyInArrow(build, f"{name} int, {TREE}")
+
+
+def _floors(queries: CoverTree, ids, rows, k: int):
+    """A score that the kth best of every query reaches: the kth best of the sample."""
+    import numpy as np
+
+    least = np.iinfo(np.int64).min + 1
+    if len(ids) <= k:
+        return np.full(len(queries.ids), least, np.int64)
+    s = products(queries.vectors, rows)
+    s[queries.ids[:, None] == ids[None, :]] = least
+    return np.partition(s, -k, axis=1)[:, -k]
+
+
+def _reached(queries: CoverTree, floor, centres, radii):
+    """Lanes whose root lets some query reach its floor."""
+    import numpy as np
+
+    x = queries.vectors.astype(np.float64)
+    w = min(x.shape[1], centres.shape[1])
+    bound = x[:, :w] @ centres[:, :w].T + np.outer(np.sqrt((x**2).sum(1)), radii)
+    return np.flatnonzero((bound + 1e-9 * np.abs(bound) + 1 >= floor[:, None]).any(0))
 
 
 def top_k(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): the k highest inner products of every query among all other vectors.
+    """(query_id, rank, vec_id, score): the k highest inner products of every query among all vectors of other ids.
 
     Ties go to the smaller id.  Vectors that are null or hold a null or
-    non-finite component, and rows with a null id, take no part; of rows with
-    the same id the smallest vector counts.  Vectors of different widths are
-    compared as if filled up with zeros.  No queries: an empty result.
+    non-finite component, and rows with a null id, take no part.  Rows that
+    share an id are all candidates of the other ids, and as queries share one
+    list.  Vectors of different widths are compared as if filled up with
+    zeros.  No queries: an empty result.  Other columns are not looked at.
     """
+    import numpy as np
+
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), whole(F.col(vector)).alias("v"), is_query.alias("q")).where("vec_id is not null and v is not null")
-    vectors = rows.groupBy("vec_id").agg(F.min("v").alias("v"), F.max("q").alias("q"))
-    n, nq = rows.agg(F.count("*"), F.coalesce(F.sum(F.col("q").cast("long")), F.lit(0))).first()
+    n, width = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    most = max(1, min(LANE, LANE_BYTES // (8 * max(1, width)), max(LEAST_LANE, n // (2 * spark.sparkContext.defaultParallelism))))
     # about SAMPLE vectors, chosen by a hash of their ids: a start for the kth scores
-    some = vectors.where(F.pmod(F.xxhash64(F.lit(7), "vec_id"), F.lit(max(1, math.ceil(n / SAMPLE)))) == 0).select("vec_id", "v").limit(4 * SAMPLE)
-    sample = spark.sparkContext.broadcast([(r["vec_id"], r["v"]) for r in some.collect()])
-    lanes = max(1, math.ceil(n / LANE))
-    data = _trees(vectors.select("vec_id", "v"), LANE, n, "lane", LEAF)
-    groups = _trees(vectors.where("q").select("vec_id", "v"), GROUP, nq, "grp", QUERY_LEAF)
-    prefixed = groups.select(*[F.col(c).alias("q_" + c) for c in groups.columns], F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"))
+    some = rows.where(F.pmod(F.xxhash64(F.lit(7), "vec_id"), F.lit(max(1, math.ceil(n / SAMPLE)))) == 0).select("vec_id", "v").limit(4 * SAMPLE)
+    known = sorted((r["vec_id"], r["v"]) for r in some.collect()) or [(0, [])]
+    ids, known = np.array([i for i, _ in known], np.int64), _matrix(pa.array([v for _, v in known], pa.list_(pa.int64())))
+    if not n:
+        ids, known = ids[:0], known[:0]
+    sample = spark.sparkContext.broadcast((ids, known))
+    pivots = spark.sparkContext.broadcast(_pivots(known, PIVOTS) if n and len(known) else np.zeros((1, 1)))
+    vectors = rows.withColumn("pivot", _nearest(pivots, "v"))
+    data = materialize(_trees(vectors.select("vec_id", "v", "pivot"), most, "lane", LEAF, spark), "lanes")
+    groups = _trees(vectors.where("q").select("vec_id", "v", "pivot"), min(GROUP, most), "grp", QUERY_LEAF, spark)
+    lanes = data.count()
+    roots = None
+    if lanes <= MOST_ROOTS:
+        found = [(r["lane"], CoverTree.unpack(b"", bytes(r["v"]), r["width"], bytes(r["nodes"]))) for r in _root_rows(data).collect()]
+        size = max((t.vectors.shape[1] for _, t in found), default=0)
+        centres = np.array([np.pad(t.vectors[0].astype(np.float64), (0, size - t.vectors.shape[1])) for _, t in found]).reshape(len(found), size)
+        roots = spark.sparkContext.broadcast((np.array([lane for lane, _ in found], np.int32), centres, np.array([t.nodes[0]["radius"] for _, t in found])))
+    every = list(range(lanes)) if roots is None else []
+
+    def ask(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                queries = CoverTree.unpack(r["ids"], r["vectors"], r["width"], r["nodes"])
+                floor = _floors(queries, *sample.value, k)
+                asked = every if roots is None else roots.value[0][_reached(queries, floor, *roots.value[1:])].tolist()
+                yield pa.RecordBatch.from_pylist([{**{"q_" + c: r[c] for c in ("ids", "vectors", "width", "nodes")}, "block": r["grp"] // MEETINGS, "lanes": asked}], _ASKED)
 
-    def meet(batches):
-        import numpy as np
+    asked = groups.mapInArrow(ask, "q_ids binary, q_vectors binary, q_width int, q_nodes binary, block int, lanes array<int>")
+    asked = asked.select("q_ids", "q_vectors", "q_width", "q_nodes", "block", F.explode("lanes").alias("lane"))
+    last = groups.agg(F.coalesce(F.max("grp"), F.lit(0))).first()[0] // MEETINGS
+    salted = data.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(last))))
 
-        known = sample.value
-        ids, rows = np.array([i for i, _ in known], np.int64), _matrix([v for _, v in known])
+    def meet(batches):
         for batch in batches:
             for r in batch.to_pylist():
                 queries = CoverTree.unpack(r["q_ids"], r["q_vectors"], r["q_width"], r["q_nodes"])
                 tree = CoverTree.unpack(r["ids"], r["vectors"], r["width"], r["nodes"])
-                floor = np.full(len(queries.ids), np.iinfo(np.int64).min + 1, np.int64)
-                if len(ids) > k:
-                    s = products(queries.vectors, rows)
-                    s[queries.ids[:, None] == ids[None, :]] = np.iinfo(np.int64).min + 1
-                    floor = np.partition(s, -k, axis=1)[:, -k]
-                best = Best(len(queries.ids), k, floor)
+                best = Best(len(queries.ids), k, _floors(queries, *sample.value, k))
                 search(queries, tree, best)
                 found = [(q, i, -s) for q, rows_ in zip(queries.ids.tolist(), best.rows) for s, i in rows_]
                 yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in found], pa.int64()) for j in range(3)], ["query_id", "vec_id", "score"])
 
-    found = data.join(prefixed, "lane").mapInArrow(meet, "query_id long, vec_id long, score long")
+    found = salted.join(asked, ["lane", "block"]).mapInArrow(meet, "query_id long, vec_id long, score long")
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id")))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+_ASKED = pa.schema([("q_ids", pa.binary()), ("q_vectors", pa.binary()), ("q_width", pa.int32()), ("q_nodes", pa.binary()), ("block", pa.int32()), ("lanes", pa.list_(pa.int32()))])
+
+
+def _root_rows(data: DataFrame) -> DataFrame:
+    """(lane, width, v, nodes): the first node of every tree and its centre."""
+
+    def of(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                t = CoverTree.unpack(r["ids"], r["vectors"], r["width"], r["nodes"])
+                yield pa.RecordBatch.from_pylist([{"lane": r["lane"], "width": r["width"], "v": t.vectors[t.nodes[0]["centre"]].tobytes(), "nodes": t.nodes[:1].tobytes()}], pa.schema([("lane", pa.int32()), ("width", pa.int32()), ("v", pa.binary()), ("nodes", pa.binary())]))
+
+    return data.mapInArrow(of, "lane int, width int, v binary, nodes binary")

@@ -15,8 +15,8 @@ summed and calibrated to a probability on the training rows.
 from __future__ import annotations
 
 import math
-import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -24,20 +24,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from .common import Remembered, bounded_batches, materialize, once
+from .common import bounded_batches, materialize, once
 
 #: At most about so many labelled rows are learnt from (all, where there are fewer); also bounds the broadcast.
 MAX_LABELLED = 200_000
-#: At most so many features are kept, the most significant ones.
-MAX_FEATURES = 100_000
-#: Least significance of a feature, in standard deviations.
-LEAST_Z = 2.8
+#: Least significance of a feature, in standard deviations, and documents that have it.  All such features are
+#: kept; the labelled rows, which MAX_LABELLED bounds, bound them too.
+LEAST_Z, LEAST_DOCS = 2.8, 3
 #: Prior documents spread over all features by their frequency, and the least prior of a feature.
 PRIOR, LEAST_PRIOR = 500.0, 0.5
 DRIFT = 0.5
 #: Word beginnings counted as features, for words not met in training.
 BEGINNINGS = (4, 5, 6, 7)
-_WORDS = re.compile(r"[^\W_]+").findall
+#: Code points that are hashed at once.
+CHUNK = 1 << 20
+_ODD = 0x9E3779B97F4A7C15
 SEGMENT = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType()), T.StructField("expected", T.DoubleType())])
 RESULT = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("passages", T.ArrayType(SEGMENT))])
 
@@ -53,9 +54,92 @@ class Model:
     slope: float = 1.0
 
 
-def features(word: str) -> list[str]:
-    """The word and its beginnings; a beginning is marked by an asterisk."""
-    return [word, *(word[:k] + "*" for k in BEGINNINGS if len(word) >= k)]
+def lower(text: str) -> str:
+    """The text in lower case, as long as it was: what a letter would become that grows is cut to its first code point."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower()[0] for c in text)
+
+
+@cache
+def _letters():
+    """Whether a code point is part of a word: letters and digits."""
+    import numpy as np
+
+    return np.fromiter((chr(i).isalnum() for i in range(0x110000)), bool, 0x110000)
+
+
+@cache
+def _powers(n: int):
+    """Powers of an odd number, and of its inverse, modulo 2**64."""
+    import numpy as np
+
+    with np.errstate(over="ignore"):
+        return tuple(np.cumprod(np.r_[np.uint64(1), np.full(n, base, np.uint64)]) for base in (_ODD, pow(_ODD, -1, 1 << 64)))
+
+
+def _mixed(h):
+    import numpy as np
+
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        return h ^ (h >> np.uint64(29))
+
+
+@dataclass
+class Words:
+    """The words of some texts, and their features as 64-bit hashes: the word and its beginnings."""
+
+    text: str  # all texts in lower case, one after another
+    begins: object  # code points before each text, and all
+    start: object
+    end: object
+    row: object  # the text of each word
+    hashes: list = field(default_factory=list)  # by kind of feature: (words that have it, hash)
+
+
+def words(texts: list[str | None]) -> Words:
+    """Words are runs of letters and digits of the lower-case text."""
+    import numpy as np
+
+    low = [lower(t or "") for t in texts]
+    begins = np.cumsum([0, *map(len, low)])
+    # one blank after each text keeps words apart
+    text = " ".join(low) + " "
+    begins = begins + np.arange(len(begins))
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    letter = np.r_[False, _letters()[points], False]
+    start, end = np.flatnonzero(letter[1:-1] & ~letter[:-2]), np.flatnonzero(letter[1:-1] & ~letter[2:]) + 1
+    found = Words(text, begins, start, end, np.searchsorted(begins, start, "right") - 1)
+    lengths = end - start
+    ranks = [np.arange(len(start))] + [np.flatnonzero(lengths >= k) for k in BEGINNINGS]
+    sums_of = [np.empty(len(r), np.uint64) for r in ranks]
+    at = 0
+    while at < len(start):
+        upto = max(at + 1, int(np.searchsorted(end, start[at] + CHUNK)))
+        lo, size = int(start[at]), int(end[upto - 1] - start[at])
+        power, inverse = _powers(CHUNK if size <= CHUNK else 1 << (size - 1).bit_length())
+        with np.errstate(over="ignore"):
+            sums = np.zeros(size + 1, np.uint64)
+            np.cumsum(_mixed((points[lo : lo + size].astype(np.uint64) + np.uint64(1)) * np.uint64(_ODD)) * power[:size], out=sums[1:])
+            for k, r, out in zip((None, *BEGINNINGS), ranks, sums_of):
+                a, b = np.searchsorted(r, (at, upto))
+                s = start[r[a:b]] - lo
+                e = end[r[a:b]] - lo if k is None else s + k
+                out[a:b] = (sums[e] - sums[s]) * inverse[s]
+        at = upto
+    found.hashes = [(r, _mixed(h + np.uint64(0 if k is None else 1 << k))) for k, r, h in zip((None, *BEGINNINGS), ranks, sums_of)]
+    return found
+
+
+def feature_hash(feature: str) -> int:
+    """The hash of a word, or of a beginning (marked by an asterisk), as ``words`` has it."""
+    import numpy as np
+
+    bare = feature.removesuffix("*")
+    points = np.array([ord(c) for c in bare], np.uint64)
+    with np.errstate(over="ignore"):
+        h = (_mixed((points + np.uint64(1)) * np.uint64(_ODD)) * _powers(64 if len(bare) <= 64 else len(bare))[0][: len(bare)]).sum(dtype=np.uint64)
+        return int(_mixed(np.array([h + np.uint64(0 if bare == feature else 1 << len(bare))]))[0])
 
 
 def maximal_segments(scores) -> list[tuple[int, int, float]]:
@@ -86,38 +170,53 @@ def maximal_segments(scores) -> list[tuple[int, int, float]]:
 
 class Scorer:
     def __init__(self, model: Model):
-        self.model, self.words = model, Remembered(self.word, 50_000)
+        import numpy as np
+
+        self.model = model
+        rated = sorted((feature_hash(f), *v) for f, v in model.odds.items())
+        self.known = np.array([r[0] for r in rated], np.uint64)
+        self.odds, self.z = (np.array([r[i] for r in rated]) for i in (1, 2))
 
-    def word(self, word: str) -> float:
-        """The log-odds of the word's most significant feature, less the drift."""
-        odds = self.model.odds
-        return max((odds[f] for f in features(word) if f in odds), key=lambda x: abs(x[1]), default=(0.0, 0.0))[0] - DRIFT
+    def word_scores(self, found: Words):
+        """The log-odds of each word's most significant feature (the longest word counts first), less the drift."""
+        import numpy as np
 
-    def segments(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
-        """Number of words, and the maximal segments in words."""
+        odds, z = np.zeros(len(found.start)), np.zeros(len(found.start))
+        if len(self.known):
+            for rank, h in found.hashes:
+                each, back = np.unique(h, return_inverse=True)
+                at = np.minimum(np.searchsorted(self.known, each), len(self.known) - 1)
+                hit = (self.known[at] == each)[back]
+                rank, at = rank[hit], at[back[hit]]
+                better = np.abs(self.z[at]) > np.abs(z[rank])
+                rank, at = rank[better], at[better]
+                odds[rank], z[rank] = self.odds[at], self.z[at]
+        return odds - DRIFT
+
+    def segments(self, texts: list[str | None]):
+        """For each text the number of its words and its maximal segments in words; and the words."""
         import numpy as np
 
-        words = _WORDS((text or "").lower())
-        return len(words), maximal_segments(np.fromiter(map(self.words.__getitem__, words), np.float64, len(words)))
+        found = words(texts)
+        scores = self.word_scores(found)
+        cuts = np.searchsorted(found.row, np.arange(len(texts) + 1)).tolist()
+        return [(b - a, maximal_segments(scores[a:b])) for a, b in zip(cuts, cuts[1:])], found, cuts
 
     def excess(self, n: int, segments) -> float:
         """What the segments have beyond chance in a text of n words."""
         m = self.model
         return sum(max(0.0, m.rate * s - math.log(m.space * max(n, 1))) for _, _, s in segments)
 
-    def passages(self, text: str, n: int, segments) -> list[dict]:
-        """The significant segments in code points of ``text``."""
-        m, low = self.model, text.lower()
-        found = [(a, b, s, e) for a, b, s in segments if (e := m.space * n * math.exp(-m.rate * s)) < 1]
-        if not found:
-            return []
-        spans = [x.span() for x in re.finditer(r"[^\W_]+", low if len(low) == len(text) else text)]
-        return [{"start": spans[a][0], "end": spans[b - 1][1], "score": s, "expected": e} for a, b, s, e in found if b <= len(spans)]
-
-    def score(self, text: str | None) -> dict:
-        n, segments = self.segments(text)
-        x = self.model.bias + self.model.slope * self.excess(n, segments)
-        return {"score": 1 / (1 + math.exp(-max(-500.0, min(500.0, x)))), "passages": self.passages(text or "", n, segments) if segments else []}
+    def score(self, texts: list[str | None]) -> list[dict]:
+        """The probability and the significant segments, in code points, of each text."""
+        m, out = self.model, []
+        rated, found, cuts = self.segments(texts)
+        for (n, segments), first, begin in zip(rated, cuts, found.begins.tolist()):
+            x = m.bias + m.slope * self.excess(n, segments)
+            significant = [(a, b, s, e) for a, b, s in segments if (e := m.space * n * math.exp(-m.rate * s)) < 1]
+            spans = [{"start": int(found.start[first + a]) - begin, "end": int(found.end[first + b - 1]) - begin, "score": s, "expected": e} for a, b, s, e in significant]
+            out.append({"score": 1 / (1 + math.exp(-max(-500.0, min(500.0, x)))), "passages": spans})
+        return out
 
 
 def labelled_sample(labels: DataFrame, id_col: str = "doc_id", label: str = "toxic", most: int = MAX_LABELLED) -> DataFrame:
@@ -145,38 +244,49 @@ def _counts(rows: DataFrame) -> DataFrame:
     """
 
     def count(batches):
-        from collections import Counter, defaultdict
-
-        found = {0: defaultdict(lambda: [0.0, 0]), 1: defaultdict(lambda: [0.0, 0])}
-
-        def flush():
-            for k, c in found.items():
-                if c:
-                    weights, docs = zip(*c.values())
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array([k] * len(c), pa.int32()), pa.array(weights, pa.float64()), pa.array(docs, pa.int64())], ["feature", "toxic", "n", "docs"])
-                    c.clear()
+        import numpy as np
 
+        def rows_of(texts, toxic):
+            found = words(texts)
+            label = np.array([1 if y else 0 for y in toxic])
+            for k, (rank, h) in zip((None, *BEGINNINGS), found.hashes):
+                if not len(rank):
+                    continue
+                # occurrences of each feature in each text
+                order = np.lexsort((h, found.row[rank]))
+                row, h, rank = found.row[rank][order], h[order], rank[order]
+                new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (h[1:] != h[:-1])])
+                times = np.diff(np.r_[new, len(h)])
+                weight = 1 + np.round(np.log2(times) * 2**20) / 2**20
+                row, h, rank = label[row[new]], h[new], rank[new]
+                order = np.lexsort((h, row))
+                row, h, rank, weight = row[order], h[order], rank[order], weight[order]
+                new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (h[1:] != h[:-1])])
+                start = found.start[rank[new]]
+                end = found.end[rank[new]] if k is None else start + k
+                mark = "" if k is None else "*"
+                names = [found.text[a:b] + mark for a, b in zip(start.tolist(), end.tolist())]
+                columns = [pa.array(names, pa.string()), pa.array(row[new].astype(np.int32)), pa.array(np.add.reduceat(weight, new)), pa.array(np.diff(np.r_[new, len(h)]))]
+                yield pa.RecordBatch.from_arrays(columns, ["feature", "toxic", "n", "docs"])
+
+        texts, toxic, size = [], [], 0
         for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = Counter()
-                for w, n in Counter(_WORDS((text or "").lower())).items():
-                    for f in features(w):
-                        own[f] += n
-                into = found[1 if toxic else 0]
-                for f, n in own.items():
-                    entry = into[f]
-                    entry[0] += 1 + _step(math.log2(n))
-                    entry[1] += 1
-                if len(found[0]) + len(found[1]) > 120_000:
-                    yield from flush()
-        yield from flush()
+            for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                texts.append(t)
+                toxic.append(y)
+                size += len(t or "")
+                if size > 4 * CHUNK:
+                    yield from rows_of(texts, toxic)
+                    texts, toxic, size = [], [], 0
+        if texts:
+            yield from rows_of(texts, toxic)
 
     of = lambda k: F.sum(F.when(F.col("toxic") == k, F.col("n")).otherwise(0.0))
     return rows.mapInArrow(count, "feature string, toxic int, n double, docs long").groupBy("feature").agg(of(1).alias("y1"), of(0).alias("y0"), F.sum("docs").alias("docs"))
 
 
-def log_odds(counts: DataFrame, most: int = MAX_FEATURES) -> dict[str, tuple[float, float]]:
-    """Significant features: log-odds (one deviation nearer to zero) and significance."""
+def log_odds(counts: DataFrame) -> dict[str, tuple[float, float]]:
+    """All significant features: log-odds (one deviation nearer to zero) and significance."""
     n1, n0 = counts.agg(F.coalesce(F.sum("y1"), F.lit(0.0)), F.coalesce(F.sum("y0"), F.lit(0.0))).first()
     if not n1 or not n0:
         return {}
@@ -184,8 +294,7 @@ def log_odds(counts: DataFrame, most: int = MAX_FEATURES) -> dict[str, tuple[flo
     of = lambda y, n: F.log((F.col(y) + a) / (F.lit(float(n + PRIOR)) - F.col(y) - a))
     spread = F.sqrt(1 / (F.col("y1") + a) + 1 / (F.col("y0") + a))
     rated = counts.select("feature", (of("y1", n1) - of("y0", n0)).alias("d"), spread.alias("sd")).withColumn("z", F.col("d") / F.col("sd")).where(F.abs("z") >= LEAST_Z)
-    best = rated.orderBy(F.abs("z").desc(), "feature").limit(most).collect()
-    return {r["feature"]: (math.copysign(abs(r["d"]) - r["sd"], r["d"]), r["z"]) for r in best}
+    return {r["feature"]: (math.copysign(abs(r["d"]) - r["sd"], r["d"]), r["z"]) for r in rated.select("feature", "d", "sd", "z").collect()}
 
 
 def _law(model: Model, rated: DataFrame) -> None:
@@ -234,15 +343,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     bounded_batches(docs.sparkSession)
     sample = labelled_sample(labels, id_col, label, most)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(sample), "doc_id").select("text", "toxic")
-    model = Model(log_odds(materialize(_counts(rows).where("docs >= 3"), "toxicity")))
+    model = Model(log_odds(materialize(_counts(rows).where(F.col("docs") >= LEAST_DOCS), "toxicity")))
     if not model.odds:
         return model
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @arrow_udf("struct<n:int,s:array<double>>")
     def seen(texts: pa.Array) -> pa.Array:
-        scorer = once(Scorer, shared.value)
-        found = [scorer.segments(t.as_py()) for t in texts]
+        found = once(Scorer, shared.value).segments(texts.to_pylist())[0]
         return pa.array([{"n": n, "s": [_step(s) for _, _, s in segments]} for n, segments in found], pa.struct([("n", pa.int32()), ("s", pa.list_(pa.float64()))]))
 
     rated = materialize(rows.select("toxic", seen("text").alias("x")).select("toxic", "x.n", "x.s"), "segments")
@@ -259,8 +367,7 @@ def toxicity(model: Model, spark) -> object:
 
     @arrow_udf(RESULT)
     def rate(texts: pa.Array) -> pa.Array:
-        scorer = once(Scorer, shared.value)
-        return pa.array([scorer.score(t.as_py()) for t in texts], kind)
+        return pa.array(once(Scorer, shared.value).score(texts.to_pylist()), kind)
 
     return rate
 

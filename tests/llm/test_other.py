@@ -1,6 +1,7 @@
 import json
 import random
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -53,18 +54,43 @@ def test_top_k_edges(spark):
     got = {}
     for r in topk.top_k(df, F.col("vec_id") % 100 == 0).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    v = {}
-    for i, x in rows:
-        if i is not None and x is not None and all(y is not None and np.isfinite(y) for y in x):
-            w = [int(np.floor(1024 * y)) for y in x]
-            v[i] = min(v.get(i, w), w)
-    for q in (i for i in v if i % 100 == 0):
-        best = sorted(((-sum(a * b for a, b in zip(v[q], x)), i) for i, x in v.items() if i != q))[:10]
-        assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    v = [(i, [int(np.floor(1024 * y)) for y in x]) for i, x in rows if i is not None and x is not None and all(y is not None and np.isfinite(y) for y in x)]
+    for q, own in v:
+        if q % 100 == 0:
+            best = sorted(((-sum(a * b for a, b in zip(own, x)), i) for i, x in v if i != q))[:10]
+            assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert topk.top_k(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
     assert topk.top_k(df.where("vec_id = 100"), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_top_k_of_repeated_ids_is_as_sql(spark, tmp_path):
+    rows = [(100, [1.0, 0.0]), (1, [2.0, 0.0]), (1, [3.0, 0.0]), (2, [0.5, 0.0]), (200, [0.0, 1.0]), (200, [0.0, 2.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.execute(registry.ORACLE_SQL["op5_topk"]).fetchall()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in registry.op5_topk(spark, str(tmp_path)).collect()) == sorted(want)
+
+
+def test_lanes_out_of_reach_are_not_asked(spark, monkeypatch):
+    """Clustered vectors and clashing columns: most lanes are out of a group's reach, and the result is exact."""
+    monkeypatch.setattr(topk, "LEAST_LANE", 50)
+    rng = np.random.default_rng(4)
+    x = np.concatenate([c + rng.normal(size=(60, 4)) * 0.01 for c in rng.normal(size=(12, 4)) * 5])
+    df = spark.createDataFrame([(i, r.tolist(), 1, "s", 0) for i, r in enumerate(x)], "vec_id long, embedding array<double>, query_id int, score string, rank int")
+    w = np.floor(1024 * x).astype(int)
+    got = topk.top_k(df, F.col("vec_id") % 100 == 0).collect()
+    for q in range(0, len(x), 100):
+        best = sorted((-int(s), i) for i, s in enumerate(w @ w[q]) if i != q)[:10]
+        assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    queries = topk.CoverTree.build(np.arange(0, 720, 100), w[::100], 4)
+    floor = topk._floors(queries, np.arange(720), w, 10)
+    trees = [topk.CoverTree.build(np.arange(60), w[60 * k : 60 * k + 60]) for k in range(12)]
+    one = topk.CoverTree.build(np.array([0]), w[:1], 4)
+    near = topk._reached(one, floor[queries.ids == 0], np.array([t.vectors[t.nodes[0]["centre"]] for t in trees], float), np.array([t.nodes[0]["radius"] for t in trees]))
+    assert 0 < len(near) < 12
+
+
 def test_tree_prunes_and_stays_exact():
     rng = np.random.default_rng(1)
     centres = rng.integers(-2000, 2000, (30, 6))

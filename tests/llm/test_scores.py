@@ -1,4 +1,6 @@
+import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -54,6 +56,72 @@ def test_toxicity_edges(spark, edge, empty):
     assert toxicity.score(empty, model).count() == 0 and toxicity.train(empty, labels).odds == {}
 
 
+def plain_features(text):
+    words = re.findall(r"[^\W_]+", text.lower())
+    return words, [[w, *(w[:k] + "*" for k in (4, 5, 6, 7) if len(w) >= k)] for w in words]
+
+
+def test_toxicity_is_as_brute_force(spark):
+    """Counts, log-odds, segments, law, calibration and scores, all worked out again word by word."""
+    rng = random.Random(8)
+    vocabulary = [f"w{rng.randrange(90)}rest" for _ in range(60)] + ["vile", "viler", "Idiots", "ok", "straße", "a_b"]
+    docs = [(i, " ".join(rng.choice(vocabulary[:60]) for _ in range(rng.randrange(1, 40))) + (" " + " ".join(rng.choices(vocabulary[60:63], k=3)) if i % 4 == 0 else " ok straße a_b"), int(i % 4 == 0)) for i in range(160)]
+    model = toxicity.train(spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in docs], "doc_id long, toxic int"))
+    y, seen = {0: {}, 1: {}}, {}
+    for _, text, toxic in docs:
+        own = {}
+        for fs in plain_features(text)[1]:
+            for f in fs:
+                own[f] = own.get(f, 0) + 1
+        for f, n in own.items():
+            y[toxic][f] = y[toxic].get(f, 0) + 1 + math.log2(n)
+            seen[f] = seen.get(f, 0) + 1
+    kept = [f for f in seen if seen[f] >= 3]
+    n1, n0 = (sum(y[k].get(f, 0) for f in kept) for k in (1, 0))
+    odds = {}
+    for f in kept:
+        a, b = y[1].get(f, 0), y[0].get(f, 0)
+        prior = max(500 / (n1 + n0) * (a + b), 0.5)
+        d = math.log((a + prior) / (n1 + 500 - a - prior)) - math.log((b + prior) / (n0 + 500 - b - prior))
+        sd = math.sqrt(1 / (a + prior) + 1 / (b + prior))
+        if abs(d / sd) >= 2.8:
+            odds[f] = (math.copysign(abs(d) - sd, d), d / sd)
+    assert set(model.odds) == set(odds) and len(odds) >= 4
+    assert all(model.odds[f] == pytest.approx(odds[f], rel=1e-4) for f in odds)
+    scores = [[max((model.odds[f] for f in fs if f in model.odds), key=lambda v: abs(v[1]), default=(0, 0))[0] - 0.5 for fs in plain_features(t)[1]] for _, t, _ in docs]
+    found = [[sum(s[a:b]) for a, b in brute(s)] for s in scores]
+    clean = [(s, f) for s, f, d in zip(scores, found, docs) if not d[2]]
+    n, total = sum(len(f) for _, f in clean), sum(sum(f) for _, f in clean)
+    n, total = (n, total) if n else (1, 1.0)
+    assert model.rate == pytest.approx(min(1, (n + 1) / (total + 2)), rel=1e-4)
+    assert model.space == pytest.approx((n + 1) / (sum(len(s) for s, _ in clean) + 1))
+    x = [sum(max(0, model.rate * v - math.log(model.space * max(len(s), 1))) for v in f) for s, f in zip(scores, found)]
+    p = [1 / (1 + math.exp(-(model.bias + model.slope * min(v, 50)))) for v in x]
+    # the fit is where the gradient of the penalised likelihood is zero
+    assert sum(q - d[2] for q, d in zip(p, docs)) + 0.01 * model.bias == pytest.approx(0, abs=1e-3)
+    assert sum((q - d[2]) * min(v, 50) for q, d, v in zip(p, docs, x)) + 0.01 * model.slope == pytest.approx(0, abs=1e-2)
+    rated = {r["doc_id"]: r["toxicity"] for r in toxicity.score(spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string"), model).collect()}
+    assert all(rated[d[0]]["score"] == pytest.approx(1 / (1 + math.exp(-(model.bias + model.slope * v))), abs=1e-4) for d, v in zip(docs, x))
+
+
+def test_passages_keep_their_place_where_lower_case_is_longer():
+    model = toxicity.Model({"vile": (6.0, 9.0)}, rate=1.0, space=0.01)
+    text = "İİ one İ two vile VILE end"
+    (found,) = toxicity.Scorer(model).score([text])
+    assert [text[p["start"] : p["end"]] for p in found["passages"]] == ["vile VILE"]
+    both = toxicity.Scorer(model).score([None, "x vile", "", text])
+    assert both[3] == found and [len(b["passages"]) for b in both] == [0, 1, 0, 1] and both[1]["passages"][0]["start"] == 2
+
+
+def test_words_are_hashed_alike_everywhere(monkeypatch):
+    texts = ["Ein Wörtchen_zwei 漢字 über 123abcdefgh", None, "x", "ein " * 20]
+    whole = toxicity.words(texts)
+    assert [whole.text[a:b] for a, b in zip(whole.start, whole.end)][:5] == ["ein", "wörtchen", "zwei", "漢字", "über"]
+    assert int(whole.hashes[0][1][1]) == toxicity.feature_hash("wörtchen") and int(whole.hashes[2][1][0]) == toxicity.feature_hash("wörtc*")
+    monkeypatch.setattr(toxicity, "CHUNK", 9)
+    assert all((a == b).all() for x, y in zip(whole.hashes, toxicity.words(texts).hashes) for a, b in zip(x, y))
+
+
 def test_mixing_targets(spark, small):
     rows = registry.op7_mixing(spark, small).collect()
     assert all(r["taken"] <= 3 * r["size"] for r in rows)
