@@ -23,7 +23,7 @@ MAX_RATE = 3
 #: Targets are broadcast up to this number of sources, and joined by shuffling beyond it.
 MOST_SOURCES = 100_000
 #: Documents of a shard, about: a source of any size is dealt to as many tasks as it needs.
-SHARD = 50_000
+SHARD = 5_000
 
 
 def draw(identifier: Column) -> Column:

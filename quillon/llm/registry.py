@@ -142,7 +142,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
     "op7_mixing": r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
-s AS (SELECT source, sum(size)::BIGINT AS source_size, 3 * sum(size)::BIGINT AS cap, ceil(count(*) / 50000)::BIGINT AS shards,
+s AS (SELECT source, sum(size)::BIGINT AS source_size, 3 * sum(size)::BIGINT AS cap, ceil(count(*) / 5000)::BIGINT AS shards,
         [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w FROM d GROUP BY source),
 r AS (SELECT *, cap * (10 // w) AS ratio FROM s),
 o AS (SELECT ratio, sum(cap) AS cap, sum(w) AS w FROM r GROUP BY ratio),

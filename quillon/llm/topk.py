@@ -191,7 +191,7 @@ def _matrix(rows: pa.Array):
 
 
 def _pivots(vectors, most: int):
-    """Rows far from each other: the first, then always the one farthest from those chosen."""
+    """Rows far from each other: the first, then always the one farthest from those chosen; in an order that puts near ones side by side."""
     import numpy as np
 
     x, chosen = vectors.astype(np.float64), [0]
@@ -199,7 +199,12 @@ def _pivots(vectors, most: int):
     while len(chosen) < most and near.max() > 0:
         chosen.append(int(near.argmax()))
         near = np.minimum(near, ((x - x[chosen[-1]]) ** 2).sum(1))
-    return x[chosen]
+    p = x[chosen]
+    order, left = [0], set(range(1, len(p)))
+    while left:
+        order.append(min(left, key=lambda i: float(((p[i] - p[order[-1]]) ** 2).sum())))
+        left.remove(order[-1])
+    return p[order]
 
 
 def _nearest(shared, vector: str):
@@ -218,12 +223,15 @@ def _nearest(shared, vector: str):
 
 
 def _trees(vectors: DataFrame, most: int, name: str, leaf: int, spark: SparkSession) -> DataFrame:
-    """One tree for about ``most`` vectors of a pivot; the numbers of vectors by pivot are counted first."""
+    """One tree for about ``most`` vectors: of a pivot, of a part of one, or of some that follow each other."""
     counts = {r["pivot"]: r["count"] for r in vectors.groupBy("pivot").count().collect()}  # a row a pivot
-    offsets, at = {}, 0
+    offsets, at, free = {}, 0, 0
     for p, c in sorted(counts.items()):
-        parts = math.ceil(c / most)
-        offsets[p], at = (at, parts), at + parts
+        if c <= free:
+            offsets[p], free = (at - 1, 1), free - c
+        else:
+            parts = math.ceil(c / most)
+            offsets[p], at, free = (at, parts), at + parts, most - c
 
     def build(table: pa.Table) -> pa.Table:
         import numpy as np
