@@ -86,6 +86,11 @@ def document_schema(df: DataFrame) -> list[str]:
 _held: dict[str, object] = {}
 
 
+def forget() -> None:
+    """Let go of what this worker process holds for an operator that ran in it before."""
+    _held.clear()
+
+
 def once(make, value=None):
     """``make(value)``, made once per worker process until another operator runs in it.
 

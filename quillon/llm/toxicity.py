@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from .common import bounded_batches, materialize, once
+from .common import bounded_batches, forget, materialize, once
 
 #: At most about so many labelled rows are learnt from (all, where there are fewer); also bounds the broadcast.
 MAX_LABELLED = 200_000
@@ -37,7 +37,7 @@ DRIFT = 0.5
 #: Word beginnings counted as features, for words not met in training.
 BEGINNINGS = (4, 5, 6, 7)
 #: Code points that are hashed at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _ODD = 0x9E3779B97F4A7C15
 SEGMENT = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType()), T.StructField("expected", T.DoubleType())])
 RESULT = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("passages", T.ArrayType(SEGMENT))])
@@ -269,13 +269,14 @@ def _counts(rows: DataFrame) -> DataFrame:
                 columns = [pa.array(names, pa.string()), pa.array(row[new].astype(np.int32)), pa.array(np.add.reduceat(weight, new)), pa.array(np.diff(np.r_[new, len(h)]))]
                 yield pa.RecordBatch.from_arrays(columns, ["feature", "toxic", "n", "docs"])
 
+        forget()
         texts, toxic, size = [], [], 0
         for batch in batches:
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 texts.append(t)
                 toxic.append(y)
                 size += len(t or "")
-                if size > 4 * CHUNK:
+                if size > 2 * CHUNK:
                     yield from rows_of(texts, toxic)
                     texts, toxic, size = [], [], 0
         if texts:
