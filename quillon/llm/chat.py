@@ -98,14 +98,21 @@ def link(found: DataFrame, tools: Tools) -> DataFrame:
 
     status: message; called or unanswered (calls); linked or orphan (results);
     repeated (a later call with an identifier already used; results belong
-    to the first).  Order within a conversation: order_turn, kind, turn, place;
-    a result stands at its own turn or at its call's, whichever is later.
+    to the first).  Order within a conversation: order_turn, kind, turn, place,
+    a total order in which every result stands behind its call: at its own
+    turn or at its call's, whichever is later.  Only a result depends on
+    another event, so there are no cycles.  A message row that is there twice
+    gives its events twice, with the same status and order.  Texts of any
+    length are one row each.  Numbers are written as Spark writes a variant:
+    decimals as they are, those with an exponent as doubles.
     """
     keys = ["conv_id", "call_id"]
     calls = found.where(F.col("kind") == CALL)
     first = calls.where("call_id is not null").groupBy(*keys).agg(F.min(F.struct("turn", "place")).alias("first"))
-    answered = found.where((F.col("kind") == RESULT) & F.col("call_id").isNotNull()).select(*keys).distinct().withColumn("answered", F.lit(True))
+    answered = found.where((F.col("kind") == RESULT) & F.col("call_id").isNotNull()).select(*keys).distinct().withColumn("answered", F.lit(True)).hint("shuffle_hash")
     known = first.join(answered, (first.conv_id.eqNullSafe(answered.conv_id)) & (first.call_id == answered.call_id), "left").select(first.conv_id.alias("_conv"), first.call_id.alias("_call"), "first", "answered")
+    # a row for every call: dealt by call, not by conversation, and hashed
+    known = known.hint("shuffle_hash")
     rows = found.join(known, found.conv_id.eqNullSafe(F.col("_conv")) & (found.call_id == F.col("_call")), "left").drop("_conv", "_call")
     same = F.col("first").eqNullSafe(F.struct("turn", "place"))
     status = (

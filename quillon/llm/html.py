@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from html import unescape
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,12 +29,15 @@ from .common import bounded_batches
 MAIN, OTHER, TEMPLATE = 0, 1, 2
 #: A neighbour with over this share of a page's undecided lines is a copy.
 COPY = 0.8
+#: Pairs of equal lines for each line up to which alignment goes by pairs; beyond it by rows.
+MANY = 20
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
     r"|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>",
     re.S,
 )
+_UNCLOSED = re.compile(r"<[!?]")
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = set("script style textarea title xmp iframe noembed noframes".split())
 _BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption legend optgroup option".split())
@@ -82,8 +87,8 @@ def lines(html: str | None) -> list[tuple[str, int]]:
     html = html or ""
     found: list[tuple[str, int]] = []
     piece: list[str] = []
-    #: Open elements: tag, whether a template part, a main part, a header of an article.
-    stack: list[tuple[str, bool, bool, bool]] = []
+    stack: list[Open] = []
+    count: dict[str, int] = {}
     kind = OTHER
 
     def flush() -> None:
@@ -92,27 +97,28 @@ def lines(html: str | None) -> list[tuple[str, int]]:
                 found.append((text, kind))
             piece.clear()
 
-    def state() -> int:
-        heading = False
-        for tag, template, main, head in reversed(stack):
-            if template:
-                return TEMPLATE
-            heading |= tag in _HEADINGS
-            if head and not heading:
-                return TEMPLATE
-            if main:
-                return MAIN if not any(t for _, t, _, _ in stack) else TEMPLATE
-        return OTHER
-
     def turn() -> None:
         """What is open has changed: text so far belongs to what was open before."""
         nonlocal kind
-        if (now := state()) != kind:
+        now = stack[-1].kinds[0] if stack else OTHER
+        if now != kind:
             flush()
             kind = now
 
+    def cut(upto: int) -> None:
+        for x in stack[upto:]:
+            count[x.tag] -= 1
+        del stack[upto:]
+
+    def put(tag: str, template: bool, main: bool, head: bool) -> None:
+        stack.append(_opened(stack[-1] if stack else None, len(stack), tag, template, main, head))
+        count[tag] = count.get(tag, 0) + 1
+
+    # behind the last ">" no tag ends: all is text, up to a comment or declaration that is not closed
+    last = html.rfind(">") + 1
+    rest = html[last:]
     at = 0
-    for m in _MARKUP.finditer(html):
+    for m in _MARKUP.finditer(html, 0, last):
         if m.start() < at:
             continue
         if m.start() > at:
@@ -120,6 +126,8 @@ def lines(html: str | None) -> list[tuple[str, int]]:
         at = m.end()
         tag = (m[2] or m[5] or "").lower()
         if not tag:
+            if (m[0].startswith("<!--") and not m[0].endswith("-->")) or (m[0].startswith("<![CDATA[") and not m[0].endswith("]]>")):
+                rest = ""
             continue
         closing, text = bool(m[1] or m[4]), m[3] or m[6] or ""
         if tag in _BLOCK or tag in _OUT:
@@ -127,50 +135,129 @@ def lines(html: str | None) -> list[tuple[str, int]]:
         elif tag == "br":
             piece.append(" ")
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    turn()
-                    break
+            if count.get(tag):
+                i = len(stack) - 1
+                while stack[i].tag != tag:
+                    i -= 1
+                cut(i)
+                turn()
             continue
         if tag in _VOID or (text.endswith("/") and tag not in _BLOCK):
             continue
         if tag in _RAW or tag in ("noscript", "template", "svg"):
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
-            if tag == "textarea" or tag in _OUT or tag in _RAW:
-                at = end.end() if end else len(html)
-                continue
+            at = end.end() if end else len(html)
+            continue
         attributes = _attributes(text)
         main = _is_main(tag, attributes)
-        if main and any(t for _, t, _, _ in stack) and tag in ("article", "main") and not any(t in ("aside", "nav", "footer") for t, _, _, _ in stack):
-            while any(t for _, t, _, _ in stack):
-                stack.pop()
+        if main and stack and stack[-1].templates and tag in ("article", "main") and not stack[-1].aside:
+            while stack and stack[-1].templates:
+                cut(len(stack) - 1)
         if tag == "body":
-            stack[:] = [x for x in stack if x[0] == "html"]
-        if tag == "p" or (tag == "li" and stack and stack[-1][0] == "li"):
+            kept = count.get("html", 0)
+            cut(0)
+            for _ in range(kept):
+                put("html", False, False, False)
+        if (tag == "p" or (tag == "li" and stack and stack[-1].tag == "li")) and stack:
             # a paragraph ends an open one
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-                if stack[i][0] in _BLOCK and stack[i][0] != tag:
-                    break
-        inside = any(x[2] for x in stack)
+            i = stack[-1].block
+            if i >= 0 and stack[i].tag == tag:
+                cut(i)
+        inside = bool(stack) and stack[-1].inside
         header = tag == "header" or ("header" in attributes.get("class", "").lower() and inside)
         template = _is_template(tag, attributes) or (tag == "header" and not inside)
-        if header and inside and tag not in _HEADINGS:
-            template = False
-        if tag in _HEADINGS and inside:
+        if inside and (tag in _HEADINGS or header):
             template = False
-        stack.append((tag, template, main, header and inside and tag not in _HEADINGS))
+        put(tag, template, main, header and inside and tag not in _HEADINGS)
         turn()
-    piece.append(html[at:])
+    if at < last:
+        piece.append(html[at:last])
+    if at <= last:
+        opened = _UNCLOSED.search(rest)
+        piece.append(rest[: opened.start()] if opened else rest)
     flush()
     return found
 
 
+class Open(NamedTuple):
+    """An open element, with what it and those around it say of the text inside."""
+
+    tag: str
+    templates: int  # template parts so far
+    aside: bool  # whether one is an aside, nav or footer
+    inside: bool  # within a main part
+    block: int  # place of the innermost block element
+    kinds: tuple[int, int]  # kind of the text, and of the text of a heading
+
+
+def _opened(around: Open | None, place: int, tag: str, template: bool, main: bool, head: bool) -> Open:
+    templates, kinds = (around.templates if around else 0) + template, []
+    for heading in (False, True):
+        heading |= tag in _HEADINGS
+        if template or (head and not heading):
+            kinds.append(TEMPLATE)
+        elif main:
+            kinds.append(MAIN if not templates else TEMPLATE)
+        else:
+            kinds.append(around.kinds[heading] if around else OTHER)
+    aside = bool(around and around.aside) or tag in ("aside", "nav", "footer")
+    return Open(tag, templates, aside, main or bool(around and around.inside), place if tag in _BLOCK else around.block if around else -1, tuple(kinds))
+
+
 def common(a: list[int], b: list[int]) -> list[int]:
-    """Places in ``a`` of one longest common subsequence of two lists (Hunt and Szymanski)."""
+    """Places in ``a`` of one longest common subsequence of two lists."""
+    start, most = 0, min(len(a), len(b))
+    while start < most and a[start] == b[start]:
+        start += 1
+    end = 0
+    while end < most - start and a[-1 - end] == b[-1 - end]:
+        end += 1
+    x, y = a[start : len(a) - end], b[start : len(b) - end]
+    own, theirs = Counter(x), Counter(y)
+    few = sum(n * theirs[k] for k, n in own.items()) <= MANY * (len(x) + len(y))
+    return [*range(start), *(start + i for i in (_by_matches(x, y) if few else _by_rows(x, y))), *range(len(a) - end, len(a))]
+
+
+def _by_rows(a: list[int], b: list[int]) -> list[int]:
+    """The same for lists with many equal lines: a row of the table is the bits of one whole number.
+
+    A bit of a row is 0 where the length grows from one column to the next.
+    Every so many rows are kept and those between worked out again on the way back.
+    """
+    full = (1 << len(b)) - 1
+    where: dict[int, int] = {}
+    for j, x in enumerate(b):
+        where[x] = where.get(x, 0) | 1 << j
+
+    def below(row: int, x: int) -> int:
+        hit = row & where.get(x, 0)
+        return ((row + hit) | (row - hit)) & full
+
+    step = max(1, int(len(a) ** 0.5))
+    row, kept = full, [full]
+    for i, x in enumerate(a):
+        row = below(row, x)
+        if (i + 1) % step == 0:
+            kept.append(row)
+    out, j = [], len(b)
+    for k in range(len(kept) - 1, -1, -1):
+        rows = [kept[k]]
+        for x in a[k * step : (k + 1) * step]:
+            rows.append(below(rows[-1], x))
+        i = len(rows) - 1
+        while i and j:
+            if rows[i] >> (j - 1) & 1:
+                j -= 1
+            elif not rows[i - 1] >> (j - 1) & 1:
+                i -= 1
+            else:
+                i, j = i - 1, j - 1
+                out.append(k * step + i)
+    return out[::-1]
+
+
+def _by_matches(a: list[int], b: list[int]) -> list[int]:
+    """The same over all pairs of equal lines (Hunt and Szymanski)."""
     where: dict[int, list[int]] = {}
     for j in range(len(b) - 1, -1, -1):
         where.setdefault(b[j], []).append(j)

@@ -90,7 +90,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Linked events of every conversation, with a digest of their canonical JSON."""
     (messages,) = tables(spark, sf_dir, "conversations")
     found = chat.format_chats(messages)
-    return found.select("conv_id", "turn", "kind", "call_id", "status", F.size("problems").alias("n_problems"), "order_turn", F.sha2("json", 256).alias("json_sha256"))
+    return found.select("conv_id", "turn", "kind", "call_id", "status", F.size("problems").alias("n_problems"), "order_turn", "place", F.sha2("json", 256).alias("json_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -167,7 +167,7 @@ l AS (SELECT e.*, o.turn AS other FROM e LEFT JOIN m o ON o.conv_id = e.conv_id
 SELECT conv_id, turn, kind, call_id,
   CASE kind WHEN 0 THEN 'message' WHEN 1 THEN CASE WHEN other IS NULL THEN 'unanswered' ELSE 'called' END
     ELSE CASE WHEN other IS NULL THEN 'orphan' ELSE 'linked' END END AS status,
-  0 AS n_problems, turn AS order_turn,
+  0 AS n_problems, turn AS order_turn, 0 AS place,
   sha256('{' || CASE WHEN kind = 1 THEN '"arguments":{"prompt":' || to_json(text) || '},' ELSE '' END
     || CASE WHEN kind > 0 THEN '"call_id":' || to_json(call_id) || ',' ELSE '' END
     || CASE WHEN kind <> 1 THEN '"content":' || to_json(text) || ',' ELSE '' END || '"conv_id":' || conv_id || ','

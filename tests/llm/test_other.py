@@ -1,8 +1,12 @@
 import json
+import os
 import random
+import re
+import time
 
 import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -36,6 +40,82 @@ def test_longest_common_subsequence():
         assert len(found) == lcs(a, b) and found == sorted(found)
 
 
+def test_alignment_by_rows_is_as_long():
+    rng = random.Random(4)
+    for _ in range(300):
+        a, b = [[rng.randrange(3) for _ in range(rng.randrange(15))] for _ in range(2)]
+        found = html._by_rows(a, b)
+        rest = iter(b)
+        assert len(found) == lcs(a, b) and all(any(y == a[i] for y in rest) for i in found)
+    assert len(html.common([1] * 20_000 + [2] + [3] * 20_000, [3] * 15_000 + [2] + [1] * 20_000)) == 20_000
+
+
+@pytest.mark.parametrize("page", ["<div>" * 200_000, '<a "' * 250_000, "<b>" * 100_000 + "<p>x</p>" * 60_000, "<div>" * 100_000 + "</span>" * 100_000, "<!-- " * 200_000, "<article><p>y" + "<i>" * 300_000])
+def test_long_pages_take_seconds(page):
+    began = time.process_time()
+    html.lines(page)
+    assert time.process_time() - began < 15
+
+
+def brute_text(pages, page_id):
+    """The text of a page by the stated rules, all its neighbours being looked for among all pages."""
+
+    def split(url):
+        rest = re.sub(r"^([A-Za-z][A-Za-z0-9+.-]*:)?//", "", url or "")
+        host, slash, path = rest.partition("/")
+        return host.lower(), re.split("[?#]", slash + path)[0]
+
+    by = {}
+    for i, url, page in sorted(pages, key=lambda p: p[0]):
+        by.setdefault(split(url), html.lines(page))
+    own = next(p for p in pages if p[0] == page_id)
+    host, path = split(own[1])
+    lines = html.lines(own[2])
+    paths = sorted(p for h, p in by if h == host)
+    at = paths.index(path)
+    near = [paths[i] for i in (at - 1, at + 1) if 0 <= i < len(paths)]
+    near.sort(key=lambda p: -len(os.path.commonprefix([p, path])))
+    if any(k == html.MAIN for _, k in lines):
+        return "\n".join(t for t, k in lines if k == html.MAIN)
+    kept = lines
+    for p in near:
+        other, left = by[host, p], [x for x in lines if x[1] == html.OTHER]
+        table = [[0] * (len(other) + 1) for _ in range(len(lines) + 1)]
+        for i in range(len(lines) - 1, -1, -1):
+            for j in range(len(other) - 1, -1, -1):
+                table[i][j] = table[i + 1][j + 1] + 1 if lines[i] == other[j] else max(table[i + 1][j], table[i][j + 1])
+        i = j = 0
+        shared = set()
+        while i < len(lines) and j < len(other):
+            if lines[i] == other[j]:
+                shared.add(i)
+                i, j = i + 1, j + 1
+            elif table[i + 1][j] >= table[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+        if sum(lines[i][1] == html.OTHER for i in shared) <= html.COPY * len(left):
+            kept = [x for i, x in enumerate(lines) if i not in shared]
+            break
+    return "\n".join(t for t, k in kept if k == html.OTHER)
+
+
+def test_query_is_as_brute_force(spark, tmp_path):
+    """All pages of a table, a third of them without an article element, so that neighbours decide."""
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(400)}"
+    pages = []
+    for i in range(120):
+        body = "".join(f"<p>{word()} {word()} {word()} {i}</p>" for _ in range(rng.randrange(1, 6)))
+        body = f"<article>{body}</article>" if i % 3 else body
+        pages.append((i, f"http://h{i % 4}/s{rng.randrange(9)}/p{i}", f"<body><p>Menu of h{i % 4}</p><nav><p>x</p></nav>{body}<p>All rights {rng.randrange(2)}</p></body>"))
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: r for r in registry.op4_html(spark, str(tmp_path)).collect()}
+    assert len(got) == 120 and all(r["text"] == brute_text(pages, i) and r["n_chars"] == len(r["text"]) for i, r in got.items())
+    alone = {i: "\n".join(t for t, k in html.lines(p) if k == html.OTHER) for i, _, p in pages if i % 3 == 0}
+    assert sum(got[i]["text"] != t for i, t in alone.items()) > 30  # withheld neighbours would change the result
+
+
 def test_differencing(spark):
     page = lambda body: f"<body><p>Menu</p><p>Welcome to the site</p>{body}<p>All rights</p></body>"
     rows = [(1, "http://h/a/1", page("<p>One.</p>")), (2, "http://h/a/2", page("<p>Two.</p><p>Three.</p>")), (3, "http://h/a/2?p=2", page("<p>Two.</p><p>Three.</p>")), (4, "http://other/a/1", page("<p>Lone.</p>")), (5, None, None), (5, None, None), (6, "http://h/z", "<article>Kept</article><p>Menu</p>")]
@@ -130,6 +210,18 @@ def test_tool_calls(spark):
     assert {r["status"] for r in chat.format_chats(df).where("conv_id = 1").collect()} >= {"unanswered", "called"}
 
 
+def test_repeated_messages_and_long_texts(spark):
+    """Copies of a message give copies of its events; results stand behind their calls in the total order."""
+    call = json.dumps({"tool_calls": [{"id": "a", "name": "add", "arguments": {"x": 1}}]})
+    rows = [(1, 0, "tool", json.dumps({"tool_call_id": "a", "content": "early"})), (1, 1, "assistant", call), (1, 1, "assistant", call), (2, 0, "user", "long " * 100_000), (2, 1, "assistant", "")]
+    got = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"), chat.Tools({"add": chat.Schema({"x": "integer"})}), exchanges=False).collect()
+    copies = [r for r in got if r["kind"] == chat.CALL]
+    assert len(got) == 5 and len(copies) == 2 and copies[0] == copies[1] and copies[0]["status"] == "called"
+    order = sorted((r for r in got if r["conv_id"] == 1), key=lambda r: (r["order_turn"], r["kind"], r["turn"], r["place"]))
+    assert [r["kind"] for r in order] == [chat.CALL, chat.CALL, chat.RESULT] and order[-1]["status"] == "linked"
+    assert max(len(r["json"]) for r in got) > 500_000
+
+
 def test_pipeline(spark, small, docs):
     kept, ids = docs, set()
     for name, stage in corpus_pipeline.STAGES[:-1]:
