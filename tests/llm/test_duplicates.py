@@ -123,6 +123,16 @@ def test_repetitions_within_a_passage(spark):
     assert covered == {2: set(range(60)), 3: set(range(9, 81)), 5: set(range(7, 77))}
 
 
+def test_longer_runs_of_one_word_are_covered(spark):
+    rng = random.Random(5)
+    docs = [(1, words(rng, 9) + ["so"] * 50 + words(rng, 9)), *[(i, words(rng, i) + ["so"] * n + words(rng, 3)) for i, n in enumerate((51, 66, 97, 240, 1_003), 2)], (9, ["no"] * 49 + words(rng, 5)), (10, ["no"] * 90)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in docs], "doc_id long, text string")
+    covered = {}
+    for r in substring.passages(df).collect():
+        covered.setdefault(r["doc_id"], set()).update(range(r["start_word"], r["end_word"]))
+    assert covered == {i: set(range(i, i + n)) for i, n in enumerate((51, 66, 97, 240, 1_003), 2)}
+
+
 def test_word_hashes():
     texts = pa.array(["A b\tc", None, "", "x" * 100 + " ü", " b ", "Ü"])
     h, begins = substring.word_hashes(texts)
@@ -147,6 +157,32 @@ def test_no_exact_passage_is_missed(spark, docs):
                 assert set(range(i, i + 50)) <= covered.get(r["doc_id"], set())
 
 
+def test_reported_passages_are_repeated(spark, docs):
+    """Precision: the words of every passage can be aligned with the source's so that enough of them are equal."""
+    from difflib import SequenceMatcher
+
+    texts = {r["doc_id"]: (r["text"] or "").lower().split() for r in docs.collect()}
+    found = substring.passages(docs).collect()
+    assert len(found) > 10
+    for r in found:
+        a = texts[r["doc_id"]][r["start_word"] : r["end_word"]]
+        b = texts[r["source_id"]][r["source_word"] : r["source_word"] + int(len(a) / substring.IDENTITY) + 1]
+        equal = sum(m.size for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+        # the matcher is not optimal, so a little less than the operator's own count is allowed
+        assert r["source_id"] < r["doc_id"] and len(a) >= substring.MIN_WORDS and r["n_equal"] >= substring.IDENTITY * len(a) and equal >= 0.95 * r["n_equal"] - 2
+
+
+def test_rows_without_ids_and_with_repeated_ids(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = [(None, text), (None, text), (5, text), (6, "other words"), (6, "more words"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [tuple(r) for r in simhash.keep_one(df).collect()]
+    assert (5, text) in kept and (None, text) not in kept and sum(i == 6 for i, _ in kept) == 1
+    assert sorted(kept, key=str) == sorted((tuple(r) for r in simhash.keep_one(df.repartition(5)).collect()), key=str)
+    cut = [tuple(r) for r in substring.cut(df.where("doc_id is null or doc_id < 6")).collect()]
+    assert sorted(cut, key=str) == sorted([(None, ""), (None, ""), (5, text), (None, None)], key=str)
+
+
 def test_substring_edges(spark, edge, empty):
     left = substring.cut(edge)
     assert left.columns == edge.columns and left.count() == 11

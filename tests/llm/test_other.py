@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillon.llm import chat, html, registry, topk
+from quillon.llm import bpe, chat, html, registry, tokencount, topk, toxicity
 
 
 def test_lines_of_a_page():
@@ -238,6 +238,30 @@ def test_pipeline(spark, small, docs):
     assert corpus_pipeline.run(spark, small).count() == last.count()
 
 
+@pytest.mark.parametrize("table", ["edge", "empty"])
+def test_pipeline_over_odd_rows(spark, small, request, table):
+    """Nulls, empty and very long texts, repeated rows, extra columns with clashing names, and an empty table."""
+    kept = request.getfixturevalue(table)
+    columns = kept.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = corpus_pipeline.materialize(stage(spark, kept, small), "odd")
+        assert kept.columns == columns, name
+    last = corpus_pipeline.STAGES[-1][1](spark, kept, small).collect()
+    ids = [r["doc_id"] for r in last]
+    assert len(last) == kept.count() and (table == "empty" or {1, 4, 8} & set(ids)) and not {3, 9} & set(ids)
+
+
+def test_clashing_columns(spark, edge):
+    """Columns of the input with the names that operators add or use inside."""
+    rows = edge.select("doc_id", "text", *[F.lit("mine").alias(c) for c in ("ids", "decoded", "toxicity", "n_tokens", "score")]).where("doc_id < 7")
+    coded = bpe.round_trip(rows, bpe.Coder(spark, registry.vocabulary(registry.WORD_VOCABULARY))).collect()
+    assert len(coded) == 6 and {r["decoded"] for r in coded if r["doc_id"] == 4} == {"word</w>"}
+    rated = toxicity.score(rows, toxicity.Model({})).collect()
+    assert len(rated) == 6 and all(0 < r["toxicity"]["score"] < 0.5 for r in rated)
+    counted = tokencount.count_tokens(rows, registry.vocabulary(registry.PIECE_VOCABULARY)).collect()
+    assert len(counted) == 6 and all(isinstance(r["n_tokens"], int) for r in counted)
+
+
 def test_native_operators_run_no_python(spark, small):
     for name in ("op3_spotsigs", "op7_mixing", "op10_chat"):
         assert "Python" not in registry.QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
